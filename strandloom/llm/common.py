@@ -47,8 +47,3 @@ def shuffle_cleanup(spark: SparkSession):
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
-
-def spread(df: DataFrame, rows_per_task: int, *cols) -> DataFrame:
-    """``df`` dealt by ``cols`` over at least as many tasks as the session shuffles to."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, 1), *cols)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import line_dedup
+from strandloom.llm import bpe, line_dedup, simhash
 
-QUERIES = {"op9_line_dedup": line_dedup.op9_line_dedup}
+QUERIES = {"op1_simhash": simhash.op1_simhash, "op6_bpe": bpe.op6_bpe, "op9_line_dedup": line_dedup.op9_line_dedup}
 ORACLE = {"op9_line_dedup": line_dedup.ORACLE}
