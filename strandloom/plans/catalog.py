@@ -1,4 +1,131 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries over the driver's tables.
 
-QUERIES = {}
-ORACLE = {}
+Sequences are the base letters of ``documents``; samples are sources. Table A holds sources 0 to 9 and B the others; the
+parents are English and French documents; the sex tables are three groups of sources, haplotypes the parity of the id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from strandloom.functions.bases import decode, encode, hash_code
+from strandloom.operators import compare, kmers, lookup, quality, regions, sexchr, table as tables, trio
+from strandloom.operators.options import QualityOptions
+from strandloom.plans.oracle import ORACLE
+from strandloom.sources.sequences import from_documents, raw_documents
+
+K = 21
+SHORT = 11
+
+
+def documents(spark, sf_dir: str) -> DataFrame:
+    """The table; dealt anew only if it has fewer files than the session has cores, and then may be one split."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+
+
+def sequences(spark, sf_dir: str) -> DataFrame:
+    return from_documents(documents(spark, sf_dir))
+
+
+def source_number():
+    return F.substring("sample", 4, 10).cast("int")
+
+
+def part(seqs: DataFrame, low: int, high: int) -> DataFrame:
+    return seqs.filter(source_number().between(low, high))
+
+
+def _a(s: DataFrame, k: int = K) -> DataFrame:
+    return tables.count(part(s, 0, 9), k)
+
+
+def _b(s: DataFrame, k: int = K) -> DataFrame:
+    return tables.count(part(s, 10, 19), k)
+
+
+def _flags(s: DataFrame) -> DataFrame:
+    return lookup.trio_flags(tables.count(s.filter("lang = 'en'"), SHORT), tables.count(s.filter("lang = 'fr'"), SHORT))
+
+
+def _windows(s: DataFrame) -> DataFrame:
+    """Overlapping windows of 100 bases, so that the spectrum has a coverage peak."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("seq") - 100), F.lit(5))
+    return s.filter("len > 0").select("seq_id", "name", F.explode(starts).alias("st"), "seq").select("seq_id", "name", F.substring(F.col("seq"), F.col("st") + 1, F.lit(100)).alias("seq"))
+
+
+def _mutated(s: DataFrame) -> DataFrame:
+    """Bases at 0-based positions 199, 599, 999, ... are replaced by the next letter of A, C, G, T, A."""
+    n = F.floor((F.length("seq") + 200) / 400).cast("int")
+    piece = lambda i: F.concat(F.substring(F.col("seq"), F.when(i == 0, 1).otherwise(i * 400 - 199), F.when(i == 0, 199).otherwise(399)), F.translate(F.substring(F.col("seq"), i * 400 + 200, F.lit(1)), "ACGT", "CGTA"))
+    return s.withColumn("seq", F.when(n > 0, F.concat(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), piece), ""), F.substring(F.col("seq"), n * 400 - 199, F.length("seq")))).otherwise(F.col("seq")))
+
+
+def _sex(s: DataFrame) -> DataFrame:
+    flags = lookup.set_flags(*(tables.count(part(s, a, b), SHORT) for a, b in ((0, 1), (2, 3), (4, 4))))
+    return sexchr.sex_counts(s.withColumn("hap", (F.col("seq_id") % 2 + 1).cast("int")), flags, SHORT)
+
+
+def _round(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+def _solved(s: DataFrame) -> DataFrame:
+    """The model over windows of sources 0 and 1, read against mutated sequences of the same."""
+    own = part(s, 0, 1)
+    spec = quality.spectrum(_mutated(own), tables.count(_windows(own), K), K).withColumn("grp", F.lit("src0-1"))
+    return _round(quality.solve_groups(spec, K).drop("adj"), qv_raw=3, qv=3, cov=3, err=3, fpr_lower=6, fpr_upper=6)
+
+
+def _over(f):
+    return lambda spark, sf_dir: f(sequences(spark, sf_dir))
+
+
+QUERIES = {
+    "kmer_extract": _over(lambda s: kmers.explode_kmers(s, K)),
+    "kmer_breaks": lambda spark, sf_dir: kmers.explode_kmers(raw_documents(documents(spark, sf_dir)), 4),
+    "kmer_long_k33": _over(lambda s: tables.count(s, 33)),
+    "kmer_count": _over(lambda s: tables.count(s, K)),
+    "kmer_count_k31": _over(lambda s: tables.count(s, 31)),
+    "kmer_count_min2": _over(lambda s: tables.count(s, K, 2)),
+    "kmer_count_two_file": _over(lambda s: tables.count_two(part(s, 0, 9), part(s, 10, 19), K)),
+    "kmer_distinct": _over(lambda s: tables.distinct_kmers(tables.count(s, K))),
+    "kmer_hist": _over(lambda s: tables.histogram(tables.count(s, K))),
+    "kmer_shrink": _over(lambda s: tables.shrink(tables.count(s, SHORT), 2, 10)),
+    "kmer_shrink_open": _over(lambda s: tables.shrink(tables.count(s, SHORT), 50, 0)),
+    "kmer_setcnt": _over(lambda s: tables.set_count(tables.count(s, SHORT), 7)),
+    "kmer_clear": _over(lambda s: tables.clear(tables.count(s, SHORT))),
+    "kmer_recount": _over(lambda s: tables.recount(_a(s), part(s, 10, 19), K)),
+    "kmer_cntasm": _over(lambda s: tables.collate(s, SHORT, 1, 3, n_samples=20)),
+    "kmer_cntasm_maxout": _over(lambda s: tables.collate(s, SHORT, 1, 2, max_out=12, n_samples=20)),
+    "kmer_cntasm_seed": _over(lambda s: tables.collate(part(s, 10, 19), SHORT, 1, 2, max_out=4, seed=tables.set_count(tables.count(part(s, 0, 0), SHORT), 1), n_samples=10)),
+    "kmer_merge": _over(lambda s: tables.merge(_a(s), _b(s), 1, 3)),
+    "kmer_subtract": _over(lambda s: tables.subtract(_a(s), _b(s))),
+    "kmer_isec2": _over(lambda s: tables.intersect(_a(s), _b(s))),
+    "kmer_isec3": _over(lambda s: tables.intersect(tables.count(part(s, 0, 6), SHORT), tables.count(part(s, 7, 12), SHORT), tables.count(part(s, 13, 19), SHORT))),
+    "kmer_print": _over(lambda s: tables.listing(tables.count(s, SHORT))),
+    "kmer_codes": _over(lambda s: tables.count(s, SHORT).select("kmer", encode(F.col("kmer")).alias("code"), decode(encode(F.col("kmer")), SHORT).alias("decoded"))),
+    "kmer_hash": _over(lambda s: tables.count(s, SHORT).select("kmer", hash_code(encode(F.col("kmer")), SHORT).alias("hash"))),
+    "qv_seq": _over(lambda s: _round(quality.per_sequence(part(s, 10, 19), _a(s), K), qv=2)),
+    "qv_seq_minlen": _over(lambda s: _round(quality.per_sequence(part(s, 10, 19), _a(s), K, QualityOptions(min_len=300)), qv=2)),
+    "qv_err_kmers": _over(lambda s: quality.absent_kmers(part(s, 10, 19), _a(s), K)),
+    "qv_spectrum": _over(lambda s: quality.spectrum(part(s, 10, 19), _a(s, SHORT), SHORT)),
+    "qv_raw": _over(lambda s: _round(quality.raw_summary(quality.spectrum(part(s, 10, 19), _a(s, SHORT), SHORT), SHORT), qv_raw=3)),
+    "qv_solve": _over(_solved),
+    "trio_flags": _over(_flags),
+    "triobin": _over(lambda s: trio.binning(s, _flags(s), SHORT)),
+    "triobin_diff": _over(lambda s: trio.differences(s, _flags(s), SHORT)),
+    "trioeval_seq": _over(lambda s: trio.phasing(s, _flags(s), SHORT)),
+    "trioeval_err": _over(lambda s: trio.phase_errors(s, _flags(s), SHORT)),
+    "trioeval_frag": _over(lambda s: trio.fragments(s, _flags(s), SHORT)),
+    "trioeval_totals": _over(lambda s: _round(trio.phasing_totals(trio.phasing(s, _flags(s), SHORT)), rate=6)),
+    "chkerr": _over(lambda s: regions.low_support(part(s, 10, 19), _a(s, SHORT), SHORT)),
+    "sexchr_flags": _over(lambda s: lookup.set_flags(*(tables.count(part(s, a, b), SHORT) for a, b in ((0, 1), (2, 3), (4, 4))))),
+    "sexchr": _over(_sex),
+    "groupxy": _over(lambda s: sexchr.partition(_sex(s), sexchr.PartitionOptions(0.3, 0.2, 0.5))),
+    "inspect_hist": _over(lambda s: compare.histogram_rows(tables.count(s, SHORT))),
+    "inspect_cross": _over(lambda s: compare.cross_counts(_a(s, SHORT), _b(s, SHORT))),
+    "inspect_sn": _over(lambda s: _round(compare.sensitivity(_a(s, SHORT), _b(s, SHORT)), frac=4)),
+    "inspect_qv": _over(lambda s: _round(compare.qualities(_a(s, SHORT), _b(s, SHORT), SHORT), qv_raw=3, qv=3)),
+}
