@@ -31,18 +31,28 @@ from pyspark.sql import DataFrame, functions as F
 from strandloom.llm.common import cut, table
 
 TRAIN_ROWS, BUCKETS, KAPPA, TEMPER, SMOOTH = 6_000, 1 << 15, 20.0, 0.4, 5.0
-DROPPED = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+HIDDEN = re.compile(r"<(script|style)\b", re.I)
+CLOSING = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style")}
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def text_of(page: str | None) -> str:
-    """The text between the tags of a page."""
-    page = page or ""
-    if page.count("<!--") > page.count("-->") or page.lower().count("<script") > page.lower().count("</script"):
-        page = re.sub(r"<!--(?!.*-->).*", " ", page, flags=re.S) if page.count("<!--") <= 1 else page.rpartition("<!--")[0]
-    return html.unescape(DROPPED.sub(" ", page))
+    """The text between the tags of a page; comments, scripts and styles, closed or not, are dropped. One pass."""
+    page, out, at = page or "", [], 0
+    while (tag := page.find("<", at)) >= 0:
+        out.append(page[at:tag])
+        if page.startswith("<!--", tag):
+            end, size = page.find("-->", tag + 4), 3
+        else:
+            end, size = page.find(">", tag + 1), 1
+            if end >= 0 and (m := HIDDEN.match(page, tag)):
+                close = CLOSING[m[1].lower()].search(page, end)
+                end = page.find(">", close.end()) if close else -1
+        at = end + size if end >= 0 else len(page)
+    out.append(page[at:])
+    return html.unescape(" ".join(out))
 
 
 def buckets(text: str | None) -> np.ndarray:
