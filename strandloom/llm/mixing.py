@@ -21,45 +21,45 @@ table gives no rows. Extra columns are kept; columns of the added names are repl
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandloom.llm.common import cut, table
+from strandloom.llm.common import bounded_sample, cut, slices, table
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = (0.75, 0.23, 0.02)
 TRAIN_ROWS, HASHED, ROUNDS = 8_000, 512, 40
-WORD = re.compile(r"\w+")
+WORD, CAPITALS = re.compile(r"\w+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def features(text: str | None) -> np.ndarray:
     """Form of the text, and which hashed words and word beginnings it holds."""
     text = text or ""
-    words = WORD.findall(text)
-    distinct = set(w.lower() for w in words)
+    words = WORD.findall(text.lower())
+    distinct = set(words)
     n, m = max(1, len(text)), max(1, len(words))
     lines = text.split("\n")
+    count = lambda letters: sum(map(text.count, letters))
     out = np.zeros(16 + HASHED, np.float32)
-    marks = sum(map(text.count, "!#$%&*|{}<>=_~^\\@"))
-    caps, digits = sum(1 for c in text if "A" <= c <= "Z"), sum(map(text.count, "0123456789"))
+    marks, caps, digits = count("!#$%&*|{}<>=_~^\\@"), count(CAPITALS), count("0123456789")
     out[:13] = (1, np.log1p(len(words)) / 10, np.log1p(len(text)) / 12, len(text) / m / 10, len(distinct) / m, 10 * marks / n, caps / n * 5, digits / n * 5, len(set(lines)) / len(lines), min(1, len(lines) / m * 5), len(text) < 200, text.count(".") / m * 5, (text.count("!") + text.count("*")) / m)
+    known = _slots
+    if len(known) > 300_000:
+        known.clear()
+    slots = set()
     for w in distinct:
-        for t in (w[:4], w):
-            out[16 + _slot(t)] = 1.0
+        got = known.get(w)
+        if got is None:
+            got = known[w] = tuple(16 + zlib.crc32(t.encode("utf-8", "surrogatepass")) % HASHED for t in (w[:4], w))
+        slots.update(got)
+    out[list(slots)] = 1.0
     return out
 
 
-def _slot(term: str, known: dict = {}) -> int:  # noqa: B006
-    got = known.get(term)
-    if got is None:
-        import zlib
-
-        if len(known) > 300_000:
-            known.clear()
-        got = known[term] = zlib.crc32(term.encode("utf-8", "surrogatepass")) % HASHED
-    return got
+_slots: dict[str, tuple[int, ...]] = {}
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, steps: int = 200, l2: float = 1e-3) -> np.ndarray:
@@ -80,15 +80,16 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, steps: int = 200, l2: floa
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> np.ndarray | None:
     """Weights of the domain classifier, or None without labelled documents."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1)
-    own = labels.select(F.col(id_col).alias("__id"), domain.alias("y")).filter("y is not null and __id is not null").groupBy("__id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id").select("__id", "text", "y")
+    own = labels.select(F.col(id_col).alias("__id"), domain.alias("y")).filter("y is not null and __id is not null").groupBy("__id").agg(F.max("y").alias("y"))
+    own = bounded_sample(cut(own), "__id", rows)  # two numbers a row
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id")
+    sample = found.groupBy("text").agg(F.max("y").alias("y")).orderBy(F.xxhash64("text"), "text").limit(rows)
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(x.as_py()).astype(np.float16).tobytes() for x in b.column(1)], pa.binary()), b.column(2)], ["id", "x", "y"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([features(x.as_py()).astype(np.float16).tobytes() for x in b.column(0)], pa.binary()), b.column(1)], ["x", "y"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted((r for r in sample.mapInArrow(run, f"id {kind}, x binary, y int").collect()), key=lambda r: (r.id, bytes(r.x)))
+    got = sorted(sample.mapInArrow(run, "x binary, y int").collect(), key=lambda r: (bytes(r.x), r.y))
     if not got:
         return None
     return fit_softmax(np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32), np.array([r.y for r in got]), len(DOMAINS))
@@ -100,7 +101,7 @@ def memberships(docs: DataFrame, weights: np.ndarray | None, text_col: str = "te
     at, k = keep.index(text_col), len(DOMAINS)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [x.as_py() or "" for x in b.column(at)]
             p = np.full((len(texts), k), 1 / k)
             if weights is not None and texts:
@@ -152,13 +153,15 @@ def fit_rates(members: DataFrame, targets, floor: float = 0.0, rounds: int = ROU
     return steps, norms
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``tokens``, ``posterior`` (by ``DOMAINS``) and ``rate``."""
-    weights = train(docs, labels, id_col, text_col)
-    slim = cut(memberships(docs.select(id_col, text_col), weights, text_col).select("tokens", "posterior"))
-    steps, _ = fit_rates(slim, targets, floor)
-    keep = [c for c in docs.columns if c != "rate"]
-    return memberships(docs.select(*(f"`{c}`" for c in keep)), weights, text_col).withColumn("rate", F.round(_rate(steps, floor), 6))
+def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text", carry: bool = True) -> DataFrame:
+    """``docs`` with ``tokens``, ``posterior`` (by ``DOMAINS``) and ``rate``; without its text unless ``carry``.
+
+    Memberships are written to the shared folder once and read by every round.
+    """
+    members = memberships(docs.drop("rate"), train(docs, labels, id_col, text_col), text_col)
+    members = cut(members if carry else members.drop(text_col))
+    steps, _ = fit_rates(members.select("tokens", "posterior"), targets, floor)
+    return members.withColumn("rate", F.round(_rate(steps, floor), 6))
 
 
 def repeated(mixed: DataFrame, id_col: str = "doc_id", seed: int = 8) -> DataFrame:
@@ -170,5 +173,5 @@ def repeated(mixed: DataFrame, id_col: str = "doc_id", seed: int = 8) -> DataFra
 
 def op8_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    mixed = mix(docs, table(spark, sf_dir, "labels"))
+    mixed = mix(docs, table(spark, sf_dir, "labels"), carry=False)
     return mixed.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate")

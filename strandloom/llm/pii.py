@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandloom.llm.common import table
+from strandloom.llm.common import slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A segment has at most so many tokens, and without letters so many groups of digits.
@@ -343,7 +343,7 @@ def personal_data(docs: DataFrame, text_col: str = "text", out_col: str = "pii",
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for x in b.column(at):
                 base, added = find(x.as_py(), crf)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm.common import cut, table
+from strandloom.llm.common import cut, slices, table
 from strandloom.llm.components import connected_components
 
 BITS, HALF = 64, 2
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(id_col, text_hash long, fp long)`` for every row; the fingerprint is the signed form of 64 bits."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.fromiter((fingerprint(x.as_py(), width) for x in b.column(2)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["__id", "text_hash", "fp"])
 

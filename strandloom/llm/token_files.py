@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from strandloom.llm.bpe import CACHE, chunks, split
-from strandloom.llm.common import scratch, shuffle_cleanup, table
+from strandloom.llm.common import bounded_sample, scratch, shuffle_cleanup, slices, table
 from strandloom.llm.files import open_in, open_out
+from strandloom.llm.words import Dictionary
 
 MAGIC, END = b"SLTOK1\0\0", b"SLTK"
 #: The dictionary is trained on this many documents, those of the smallest id hash, of each at most so many bytes of ids.
@@ -47,34 +47,24 @@ class LibraryEncoder:
         self.lib.no_truncation(), self.lib.no_padding()
         self.width = np.dtype(np.uint16 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {"": b""}
+        self.dictionary = Dictionary(self._words)
         kinds = json.loads(self.lib.to_str())
         self.splits = kinds["normalizer"] is None and kinds["post_processor"] is None and kinds["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian integers of ``width``."""
-        if not text:
-            return b""
-        if not self.splits or any(s in text for s in self.special):
-            return self._raw(text)
-        parts, known = chunks(text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    words = split(p)
-                    new = [w for w in dict.fromkeys(words) if w not in known]
-                    for w, got in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        known[w] = np.array(got.ids, self.width).tobytes()
-                    if len(words) != 1:
-                        known[p] = b"".join([known[w] for w in words])
-            return b"".join([known[p] for p in parts])
+    def _words(self, words: list[str]) -> list[bytes]:
+        return [np.array(got.ids, self.width).tobytes() for got in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian integers of ``width``."""
+        texts = [t or "" for t in texts]
+        if not self.splits:
+            return [self._raw(t) for t in texts]
+        marked = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        plain = iter(self.dictionary.encode([t for i, t in enumerate(texts) if i not in marked]))
+        return [self._raw(t) if i in marked else next(plain) for i, t in enumerate(texts)]
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -91,11 +81,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
 
     def run(batches):
         enc = _encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             tail = b"" if end_id is None else np.array([end_id], enc.width).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([(enc.encode(x.as_py()) + tail)[:SAMPLE_BYTES] for x in b.column(0)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([(x + tail)[:SAMPLE_BYTES] for x in enc.encode(b.column(0).to_pylist())], pa.binary())], ["ids"])
 
-    sample = docs.select(F.col(text_col).alias("__text"), F.xxhash64(id_col).alias("__h")).orderBy("__h").limit(SAMPLE_DOCS)
+    sample = bounded_sample(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", SAMPLE_DOCS)
     rows = [bytes(r[0]) for r in sample.select("__text").mapInArrow(run, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, rows)) // 8)), rows).as_bytes() if len(rows) >= 8 else b""
@@ -121,12 +111,12 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
         zstd = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         tail = b"" if end_id is None else np.array([end_id], enc.width).tobytes()
         path, out, at, index = f"{uri}/shard-{task.partitionId():06d}.{task.taskAttemptId()}.tok", None, len(MAGIC) + len(name), []
-        for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for b in slices(batches):
+            for i, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 if out is None:
                     out = open_out(path)
                     out.write(MAGIC + name)
-                raw = enc.encode(text.as_py()) + tail
+                raw += tail
                 frame = zstd.compress(raw)
                 out.write(frame)
                 index.append((i or 0, i is not None, at, len(frame), len(raw) // enc.width.itemsize))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandloom.llm.common import table
+from strandloom.llm.common import bounded_sample, cut, slices, table
 
 TRAIN_ROWS, TERMS, VOTERS, THRESHOLD = 12_000, 1_200, 200, 0.3
 WORD = re.compile(r"[^\W\d_]+")
@@ -54,11 +54,13 @@ def held_out(id_col: str):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``(text, y)`` of at most ``rows`` labelled documents that are not held out. Several labels of an id: the largest."""
+    """``(text, y)`` of at most ``rows`` labelled documents that are not held out. Copies count once; several labels of an id or text: the largest."""
     own = labels.select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("y")).filter("y in (0, 1) and __id is not null").filter(~held_out("__id"))
-    own = own.groupBy("__id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    own = own.groupBy("__id").agg(F.max("y").alias("y"))
+    own = bounded_sample(cut(own), "__id", rows)
     # at most ``rows`` rows of two numbers
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id").select("text", "y")
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id")
+    return cut(found.groupBy("text").agg(F.max("y").alias("y")).orderBy(F.xxhash64("text"), "text").limit(rows))
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -66,7 +68,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
 
     def run(batches):
         seen = (Counter(), Counter())
-        for b in batches:
+        for b in slices(batches):
             for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 seen[1 - y].update({t for w in words_of(text.as_py()) for t in terms_of(w)})
         every = list(seen[0].keys() | seen[1].keys())
@@ -170,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draft = Scorer(terms, set(voters), np.zeros(len(terms)), 0.0)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(draft.active(x.as_py())) for x in b.column(0)], pa.list_(pa.int32())), b.column(1)], ["on", "y"])
 
     # at most ``rows`` rows of a few small numbers
@@ -199,7 +201,7 @@ def score_with(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col
     at = keep.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([scorer.score(x.as_py()) for x in b.column(at)], pa.float64())], [*keep, "score"])
 
     src = docs.select(*(f"`{c}`" for c in keep))
