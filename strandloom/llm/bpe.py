@@ -8,10 +8,6 @@ which Spark hands to each executor (``addFile``) and every worker maps into memo
 its size, bounded by ``lexicon_words``, does not grow with the corpus. Words outside of
 the lexicon are merged exactly, by rank, with a heap when they are long.
 
-Splitting is done once per distinct chunk: a text without a space before other white
-space splits at each space into chunks whose pre-tokens don't depend on their neighbours. Each worker
-keeps a bounded dictionary from chunk to ids. Other texts are split as a whole.
-
 Defined results: a null text encodes as an empty one; an empty text has no ids; the
 string of a special token in a text is that token; ids outside of the vocabulary decode
 to nothing and bytes that are no UTF-8 to U+FFFD; null ids decode to an empty text.
@@ -22,7 +18,6 @@ from __future__ import annotations
 import heapq
 import json
 import mmap
-import re
 import struct
 from array import array
 from collections import Counter
@@ -33,21 +28,13 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F, types as T
-from tokenizers.pre_tokenizers import ByteLevel
 
-from strandloom.llm.common import scratch, table
+from strandloom.llm.common import cut, scratch, slices, table
 from strandloom.llm.files import open_out
+from strandloom.llm.words import Dictionary, chunks, words_of
 
-#: The split pattern of the byte-level vocabulary (fixed values of the public format).
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-#: Beyond these blocks Unicode versions differ in what is a letter, so the library's own splitter decides.
-WIDE = re.compile("[^\x00-\u024f]")
-_library = ByteLevel(add_prefix_space=False, use_regex=True)
-#: A space after which white space or nothing follows; before any other space a pre-token ends, whatever stands around it.
-UNSAFE = re.compile(r" (?:\s|\Z)")
-#: Entries of a worker's chunk dictionary; it is emptied when full.
-CACHE = 300_000
 LEXICON = 32_768
+NONE = np.int32(2**31 - 1)
 MAGIC = b"LEXA"
 
 
@@ -80,6 +67,9 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank.setdefault(vocab[a] << 20 | vocab[b], n)
             self.made.append(vocab[a + b])
+        order = sorted(self.rank.items())
+        self.keys, self.key_rank = np.array([k for k, _ in order], np.int64), np.array([r for _, r in order], np.int32)
+        self.made_ids, self.byte_ids = np.array(self.made, np.int64), np.array(self.byte_id, np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -102,6 +92,60 @@ class Vocabulary:
                 ranks[i - 1] = rank.get(ids[i - 1] << 20 | ids[i], none)
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of many words at once, ids as little-endian uint32: the same merges, a step for all words at a time."""
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(lengths > 32).tolist():
+            out[i] = array("I", self.merge(words[i])).tobytes()
+        for low, high in ((1, 8), (9, 16), (17, 32)):
+            own = np.flatnonzero((lengths >= low) & (lengths <= high))
+            for at in range(0, len(own), 1 << 16):
+                rows = own[at : at + (1 << 16)]
+                for i, ids in zip(rows.tolist(), self._merge_rows([words[i] for i in rows.tolist()], lengths[rows], high), strict=True):
+                    out[i] = ids
+        return out
+
+    def _rank_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 20 | b
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == key) & (b >= 0), self.key_rank[at], NONE)
+
+    def _merge_rows(self, words: list[bytes], lengths: np.ndarray, width: int) -> list[bytes]:
+        n = len(words)
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        cols = np.arange(width)
+        final = np.where(cols < lengths[:, None], self.byte_ids[raw], -1)
+        size = lengths.copy()
+        live, ids = np.arange(n), final.copy()
+        rank = np.full((n, width), NONE, np.int32)  # of the pair at each position
+        rank[:, :-1] = self._rank_many(ids[:, :-1], ids[:, 1:])
+        while len(live):
+            best = rank.argmin(axis=1)
+            low = rank[np.arange(len(live)), best]
+            going = low < NONE
+            if not going.all():
+                final[live[~going]] = ids[~going]
+                live, ids, rank, best, low = live[going], ids[going], rank[going], best[going], low[going]
+                if not len(live):
+                    break
+            r = np.arange(len(live))
+            shift = cols[:-1] > best[:, None]
+            ids[:, :-1] = np.where(shift, ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            ids[r, best] = self.made_ids[low]
+            rank[:, :-1] = np.where(cols[:-1] >= best[:, None], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = NONE
+            size[live] -= 1
+            right = ids[r, np.minimum(best + 1, width - 1)]
+            rank[r, best] = np.where(best + 1 < width, self._rank_many(ids[r, best], right), NONE)
+            inner = np.flatnonzero(best > 0)
+            rank[inner, best[inner] - 1] = self._rank_many(ids[inner, best[inner] - 1], ids[inner, best[inner]])
+        flat = final[cols < size[:, None]].astype(np.uint32).tobytes()
+        ends = np.cumsum(size * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, rank = len(ids), self.rank
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -127,21 +171,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def split(text: str) -> list[str]:
-    """The pre-tokens of a text."""
-    if WIDE.search(text):
-        return [text[a:b] for _, (a, b) in _library.pre_tokenize_str(text)]
-    return SPLIT.findall(text)
-
-
-def chunks(text: str) -> list[str]:
-    """Parts of a text that split into pre-tokens each on its own."""
-    if UNSAFE.search(text):
-        return split(text)
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
-
-
 def build_lexicon(words: dict[bytes, list[int]]) -> bytes:
     """Compiles words to a minimal acyclic automaton with rank outputs, followed by the words' ids.
 
@@ -209,8 +238,39 @@ class Lexicon:
         for name, n in (("first", n_states + 1), ("target", n_arcs), ("out", n_arcs), ("at", n_words + 1), ("ids", n_ids)):
             setattr(self, name, view[at : at + 4 * n].cast("I"))
             at += 4 * n
+        self.raw_ids = bytes(self.ids)
         self.labels, self.final, self.states, self.words = at, view[at + n_arcs : at + n_arcs + n_states], n_states, n_words
 
+        self.arrays = {name: np.frombuffer(getattr(self, name), np.uint32).astype(np.int64) for name in ("first", "target", "out", "at")}
+        source = np.repeat(np.arange(n_states), np.diff(self.arrays["first"]))
+        self.arcs = source << 8 | np.frombuffer(view[at : at + n_arcs], np.uint8)  # ascending
+        self.ends = np.frombuffer(self.final, np.uint8) > 0
+
+    def get_many(self, words: list[bytes]) -> list[bytes | None]:
+        """``get`` of many words at once, a letter of all of them at a time; ids as little-endian uint32."""
+        out: list[bytes | None] = [None] * len(words)
+        if not self.words:
+            return out
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        letters, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+        live = np.arange(len(words))
+        state, rank = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for i in range(int(lengths.max(initial=0)) + 1):
+            done = live[lengths[live] == i]
+            done = done[self.ends[state[done]]]
+            for w, a, b in zip(done.tolist(), (4 * self.arrays["at"][rank[done]]).tolist(), (4 * self.arrays["at"][rank[done] + 1]).tolist(), strict=True):
+                out[w] = self.raw_ids[a:b]
+            live = live[lengths[live] > i]
+            if not len(live):
+                break
+            key = state[live] << 8 | letters[starts[live] + i]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            has = self.arcs[arc] == key
+            live, arc = live[has], arc[has]
+            rank[live] += self.arrays["out"][arc]
+            state[live] = self.arrays["target"][arc]
+        return out
+
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
         with open(path, "rb") as f:
@@ -230,43 +290,29 @@ class Lexicon:
 
 class Encoder:
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None):
-        self.vocab, self.lexicon, self.known = vocab, lexicon, {}
-
-    def _word(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.get(raw) if self.lexicon else None
-        return array("I", self.vocab.merge(raw)).tobytes() if ids is None else ids.tobytes()
-
-    def _fill(self, missing) -> None:
-        known = self.known
-        for chunk in missing:
-            words = split(chunk)
-            if len(words) < 2:
-                known[chunk] = self._word(chunk) if chunk else b""
-                continue
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            known[chunk] = b"".join([known[w] for w in words])
-
-    def _plain(self, text: str) -> bytes:
-        parts, known = chunks(text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            self._fill([p for p in dict.fromkeys(parts) if p not in known])
-            return b"".join([known[p] for p in parts])
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian uint32."""
-        if not text:
-            return b""
-        if self.vocab.split_special is None or not any(s in text for s in self.vocab.special):
-            return self._plain(text)
-        parts = self.vocab.split_special.split(text)
-        return b"".join(struct.pack("<I", self.vocab.special[p]) if p in self.vocab.special else self._plain(p) for p in parts if p)
+        self.vocab, self.lexicon, self.dictionary = vocab, lexicon, Dictionary(self._words)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out = self.lexicon.get_many(raw) if self.lexicon else [None] * len(raw)
+        unseen = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(unseen, self.vocab.merge_many([raw[i] for i in unseen]), strict=True):
+            out[i] = ids
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian uint32."""
+        texts, special = [t or "" for t in texts], self.vocab.special
+        marked = [i for i, t in enumerate(texts) if any(s in t for s in special)]
+        if not marked:
+            return self.dictionary.encode(texts)
+        held = set(marked)
+        out = dict(zip((i for i in range(len(texts)) if i not in held), self.dictionary.encode([t for i, t in enumerate(texts) if i not in held]), strict=True))
+        for i in marked:
+            parts = [p for p in self.vocab.split_special.split(texts[i]) if p]
+            ids = iter(self.dictionary.encode([p for p in parts if p not in special]))
+            out[i] = b"".join(struct.pack("<I", special[p]) if p in special else next(ids) for p in parts)
+        return [out[i] for i in range(len(texts))]
 
 
 _encoders: dict = {}
@@ -284,20 +330,22 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 500_000) -
     """``(word, n)``: how often each pre-token occurs in all texts."""
 
     def run(batches):
-        seen: Counter = Counter()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out():
             words: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in split(chunk):
-                    words[w] += n
-            seen.clear()
+            for before, part in zip(("", " "), seen, strict=True):
+                for chunk, n in part.items():
+                    for w in words_of(before + chunk):
+                        words[w] += n
+                part.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for x in b.column(0):
-                seen.update(chunks(x.as_py() or ""))
-                if len(seen) >= flush:
+                for part, got in zip(seen, chunks(x.as_py() or ""), strict=True):
+                    part.update(got)
+                if sum(map(len, seen)) >= flush:
                     yield out()
         yield out()
 
@@ -307,7 +355,15 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 500_000) -
 def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", lexicon_words: int = LEXICON) -> str:
     """Compiles the ``lexicon_words`` most frequent words of all documents (ties: smaller word) and hands the file to the executors; returns its name."""
     spark = docs.sparkSession
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(lexicon_words)
+    counts = cut(word_counts(docs, text_col).filter("word <> ''"))
+    # counts fall into classes of an eighth of an octave, a few hundred; rows below the class that holds the last word of the lexicon never leave their tasks
+    octave = F.floor(F.log2("n") * 8).cast("int")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        least, total = r.o, total + r.n
+        if total >= lexicon_words:
+            break
+    top = counts.filter(octave >= F.lit(least)).orderBy(F.desc("n"), "word").limit(lexicon_words)
     vocab = vocabulary(tokenizer)
     words = {w: vocab.merge(w) for w in (r[0].encode() for r in top.select("word").collect())}
     uri = scratch(spark, "lexicon")
@@ -328,8 +384,8 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text_col
 
     def run(batches):
         enc = _encoder(tokenizer, lexicon)
-        for b in batches:
-            raw = [enc.encode(x.as_py()) for x in b.column(at)]
+        for b in slices(batches):
+            raw = enc.encode(b.column(at).to_pylist())
             offsets = np.zeros(len(raw) + 1, np.int32)
             np.cumsum([len(r) // 4 for r in raw], out=offsets[1:])
             flat = np.frombuffer(b"".join(raw), np.int32)
@@ -351,7 +407,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "
 
     def run(batches):
         vocab = vocabulary(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             col = b.column(at)
             flat, offsets = col.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
             texts = [decode_ids(vocab, flat[s:e].tolist()).decode("utf-8", "replace") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

@@ -22,6 +22,7 @@ WIDE = re.compile("[^\x00-ɏ]")
 _library = ByteLevel(add_prefix_space=False, use_regex=True)
 #: A space after which white space or nothing follows; before any other space a pre-token ends, whatever stands around it.
 UNSAFE = re.compile(r" (?:\s|\Z)")
+MARKS = frozenset(".,;:!?")
 #: Chunks that a worker keeps. When full, the half that came last goes: frequent chunks come early and stay.
 KEPT = 240_000
 
@@ -42,9 +43,14 @@ def chunks(text: str) -> tuple[list[str], list[str]]:
 
 
 def words_of(chunk: str) -> list[str]:
-    """The pre-tokens of a chunk; a space and letters, the common case, are one."""
+    """The pre-tokens of a chunk; the common cases, a space and letters with or without a mark at the end, need no pattern."""
     body = chunk[1:] if chunk[:1] == " " else chunk
-    return [chunk] if body.isalpha() and body.isascii() else split(chunk)
+    if body.isascii() or not WIDE.search(body):
+        if body.isalpha():
+            return [chunk]
+        if body[-1:] in MARKS and body[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+    return split(chunk)
 
 
 class Dictionary:
