@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from strandloom.llm import bpe, line_dedup, mixing, simhash, toxicity
 from strandloom.llm.common import scratch, table
 
-#: Token shares by domain that the fourth stage mixes to; a domain without documents is left out.
-TARGETS = (0.75, 0.24, 0.01)
+#: Domains of the fourth stage, and the shares of all tokens that it mixes them to.
+DOMAINS, TARGETS = {"high": "quality = 1", "low": "quality = 0"}, (0.88, 0.12)
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def dedup_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_domains(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated at rates of 1 or more so that the domains' tokens meet ``TARGETS``; none is dropped."""
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, floor=1.0)
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS, floor=1.0, domains=DOMAINS)
     return mixing.repeated(mixed).select(*docs.columns)
 
 

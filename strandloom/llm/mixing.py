@@ -1,13 +1,13 @@
 """Mixing to target weights with soft memberships.
 
 1. A classifier, fitted to a bounded sample of the labelled table, gives every document a posterior over domains
-   (``DOMAINS``, from the labels' two marks), so unlabelled documents are members of each to a degree.
+   (``DOMAINS``, conditions on the labels), so unlabelled documents are members of each to a degree.
 2. Nonnegative rates are fitted by distributed projected-gradient least squares: with w_d the document's share of all tokens
    and p_d its posterior, minimise |sum_d w_d r_d p_d - target|^2 over r_d >= floor. The start is r = 1; a step is
-   ``r <- max(floor, r - p_d . M . residual)`` with M the inverse of the K x K matrix ``sum w p p'``,
-   so steps are of the right length and the fit takes few rounds.
+   ``r <- max(floor, r - p_d . M . residual)``, the gradient scaled by M, the inverse of the K x K matrix ``sum w p p'``
+   (mostly over the documents that are off the floor), so steps are of the right length and the fit takes few rounds.
 
-A round is one aggregation that returns K numbers to the driver; rates are not stored between rounds but follow from
+A round is one aggregation that returns K + K (K + 1) / 2 numbers to the driver; rates are not stored between rounds but follow from
 the list of steps, an array of at most ``ROUNDS`` times K numbers. No round shuffles rows.
 
 The floor is 0 for the plain operator. With floor 1 nothing is dropped: the total is raised until every domain's target is at
@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandloom.llm.common import bounded_sample, cut, slices, table
 
-DOMAINS = ("high", "low", "toxic")
-TARGETS = (0.75, 0.23, 0.02)
-TRAIN_ROWS, HASHED, ROUNDS = 8_000, 512, 40
+#: Domains: a condition on the labelled table each, the first that holds counts; and their shares of the tokens.
+DOMAINS = {"toxic": "toxic = 1", "high": "quality = 1", "low": "quality = 0"}
+TARGETS = (0.05, 0.80, 0.15)
+TRAIN_ROWS, HASHED, ROUNDS = 8_000, 512, 25
 WORD, CAPITALS = re.compile(r"\w+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -77,13 +78,13 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, steps: int = 200, l2: floa
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> np.ndarray | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", domains: dict[str, str] = DOMAINS, rows: int = TRAIN_ROWS) -> np.ndarray | None:
     """Weights of the domain classifier, or None without labelled documents."""
-    domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1)
-    own = labels.select(F.col(id_col).alias("__id"), domain.alias("y")).filter("y is not null and __id is not null").groupBy("__id").agg(F.max("y").alias("y"))
+    domain = F.coalesce(*(F.when(F.expr(c), i) for i, c in enumerate(domains.values())))
+    own = labels.select(F.col(id_col).alias("__id"), domain.alias("y")).filter("y is not null and __id is not null").groupBy("__id").agg(F.min("y").alias("y"))
     own = bounded_sample(cut(own), "__id", rows)  # two numbers a row
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(own), "__id")
-    sample = found.groupBy("text").agg(F.max("y").alias("y")).orderBy(F.xxhash64("text"), "text").limit(rows)
+    sample = found.groupBy("text").agg(F.min("y").alias("y")).orderBy(F.xxhash64("text"), "text").limit(rows)
 
     def run(batches):
         for b in slices(batches):
@@ -92,13 +93,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = sorted(sample.mapInArrow(run, "x binary, y int").collect(), key=lambda r: (bytes(r.x), r.y))
     if not got:
         return None
-    return fit_softmax(np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32), np.array([r.y for r in got]), len(DOMAINS))
+    return fit_softmax(np.array([np.frombuffer(r.x, np.float16) for r in got], np.float32), np.array([r.y for r in got]), len(domains))
 
 
-def memberships(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text") -> DataFrame:
+def memberships(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text", domains: dict[str, str] = DOMAINS) -> DataFrame:
     """``docs`` with ``tokens`` and ``posterior``."""
     keep = [c for c in docs.columns if c not in ("tokens", "posterior")]
-    at, k = keep.index(text_col), len(DOMAINS)
+    at, k = keep.index(text_col), len(domains)
 
     def run(batches):
         for b in slices(batches):
@@ -123,42 +124,49 @@ def _rate(steps: list[np.ndarray], floor: float):
     return F.aggregate(history, F.greatest(F.lit(1.0), F.lit(floor)), lambda r, s: F.greatest(r - dot(s), F.lit(floor)))
 
 
-def fit_rates(members: DataFrame, targets, floor: float = 0.0, rounds: int = ROUNDS, tolerance: float = 1e-6) -> tuple[list[np.ndarray], list[float]]:
+def fit_rates(members: DataFrame, targets, floor: float = 0.0, rounds: int = ROUNDS, tolerance: float = 1e-5) -> tuple[list[np.ndarray], list[float]]:
     """The steps, and the norm of the residual before each and at the end; ``members`` has tokens and posterior."""
     k = len(targets)
-    p = [F.col("posterior")[i] for i in range(k)]
-    first = members.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * p[i] * p[j]).alias(f"h{i}{j}") for i in range(k) for j in range(i + 1)), *(F.sum(F.col("tokens") * p[i]).alias(f"s{i}") for i in range(k))).first()
-    if not first.n:
+    p, n = [F.col("posterior")[i] for i in range(k)], F.col("tokens")
+
+    def sums(rate, active) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens, tokens by domain at a rate, and the matrix over active documents."""
+        cells = [(i, j) for i in range(k) for j in range(i + 1)]
+        got = members.agg(F.sum(n), *(F.sum(n * rate * x) for x in p), *(F.sum(F.when(active, n * p[i] * p[j]).otherwise(0.0)) for i, j in cells)).first()
+        if not got[0]:
+            return 0.0, np.zeros(k), np.zeros((k, k))
+        h = np.zeros((k, k))
+        for (i, j), x in zip(cells, got[1 + k :], strict=True):
+            h[i, j] = h[j, i] = x / got[0]
+        return float(got[0]), np.array(got[1 : 1 + k]) / got[0], h
+
+    total, share, whole = sums(F.lit(1.0), F.lit(True))
+    if not total:
         return [], []
-    h = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i + 1):
-            h[i, j] = h[j, i] = first[f"h{i}{j}"] / first.n
-    inverse = np.linalg.inv(h + 1e-9 * np.eye(k))
-    share = np.array([first[f"s{i}"] for i in range(k)]) / first.n
     goal = np.array(targets, float) / sum(targets)
     # a domain that no document belongs to can't be had: its part is left out of the goal
     goal = np.where(share > 1e-9, goal, 0.0)
     goal /= goal.sum()
-    total = max(1.0, floor * float((share[goal > 0] / goal[goal > 0]).max())) if floor else 1.0
-    goal *= total
-    steps, norms = [], []
+    if floor:
+        goal *= max(1.0, 1.05 * floor * float((share[goal > 0] / goal[goal > 0]).max()))
+    steps, norms, matrix = [], [], whole
     for _ in range(rounds):
-        got = members.agg(*(F.sum(F.col("tokens") * _rate(steps, floor) * p[i]).alias(f"s{i}") for i in range(k))).first()
-        rest = np.array(got) / first.n - goal
-        norms.append(float(np.linalg.norm(rest)))
-        if norms[-1] < tolerance or len(norms) > 8 and norms[-1] > 0.999 * norms[-5]:
+        rate = _rate(steps, floor)
+        _, now, active = sums(rate, rate > floor)
+        norms.append(float(np.linalg.norm(now - goal)))
+        if norms[-1] < tolerance or len(norms) > 6 and norms[-1] > 0.99 * norms[-4]:
             break
-        steps.append(np.round(inverse @ rest, 12))
+        matrix = 0.9 * active + 0.1 * whole if steps else whole
+        steps.append(np.round(np.linalg.solve(matrix + 1e-9 * np.eye(k), now - goal), 12))
     return steps, norms
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text", carry: bool = True) -> DataFrame:
-    """``docs`` with ``tokens``, ``posterior`` (by ``DOMAINS``) and ``rate``; without its text unless ``carry``.
+def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, floor: float = 0.0, id_col: str = "doc_id", text_col: str = "text", carry: bool = True, domains: dict[str, str] = DOMAINS) -> DataFrame:
+    """``docs`` with ``tokens``, ``posterior`` (by domain) and ``rate``; without its text unless ``carry``.
 
     Memberships are written to the shared folder once and read by every round.
     """
-    members = memberships(docs.drop("rate"), train(docs, labels, id_col, text_col), text_col)
+    members = memberships(docs.drop("rate"), train(docs, labels, id_col, text_col, domains), text_col, domains)
     members = cut(members if carry else members.drop(text_col))
     steps, _ = fit_rates(members.select("tokens", "posterior"), targets, floor)
     return members.withColumn("rate", F.round(_rate(steps, floor), 6))
