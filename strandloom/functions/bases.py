@@ -9,8 +9,8 @@ MAX_COUNT = 1023
 
 
 def bases(seq) -> Column:
-    """Upper-case bases with U read as T; other letters stay and break k-mers."""
-    return F.translate(F.upper(seq), "U", "T")
+    """Upper-case bases with U read as T; other letters stay, keep their positions, and break k-mers."""
+    return F.translate(seq, "acgtuU", "ACGTTT")
 
 
 def reverse_complement(seq) -> Column:

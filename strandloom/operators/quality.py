@@ -102,7 +102,7 @@ def solve_groups(spec: DataFrame, k: int, fpr: float = 4e-5, by: str = "grp") ->
     """One solved row for each group of ``spec(by, c, hist, cnt)``; a group has at most 1,024 rows."""
     kind = spec.schema[by].dataType.simpleString()
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key, pdf):
         dense = np.zeros((2, MAX_COUNT + 1))
         dense[0, pdf["c"]], dense[1, pdf["c"]] = pdf["hist"], pdf["cnt"]
         got = solve(dense[0], dense[1], k, fpr)

@@ -75,7 +75,7 @@ def _hash(k: int) -> str:
 
 ORACLE = {
     "kmer_extract": q(occ(21), last="SELECT seq_id, pos, kmer FROM o"),
-    "kmer_breaks": """WITH s AS (SELECT doc_id AS seq_id, replace(upper(text), 'U', 'T') AS seq FROM documents),
+    "kmer_breaks": """WITH s AS (SELECT doc_id AS seq_id, translate(text, 'acgtuU', 'ACGTTT') AS seq FROM documents),
 p AS (SELECT seq_id, seq, unnest(generate_series(1, length(seq) - 3)) AS i FROM s WHERE length(seq) >= 4),
 w AS (SELECT seq_id, i + 2 AS pos, substr(seq, i, 4) AS w FROM p)
 SELECT seq_id, pos, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer FROM w WHERE regexp_full_match(w, '[ACGT]{4}')""",

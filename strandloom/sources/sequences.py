@@ -16,7 +16,7 @@ def from_documents(docs: DataFrame) -> DataFrame:
 
 def raw_documents(docs: DataFrame) -> DataFrame:
     """As ``from_documents`` with all letters kept, so that most break k-mers."""
-    return docs.select(F.col("doc_id").alias("seq_id"), F.col("doc_id").cast("string").alias("name"), F.col("source").alias("sample"), "lang", F.upper("text").alias("seq")).withColumn("len", F.length("seq"))
+    return docs.select(F.col("doc_id").alias("seq_id"), F.col("doc_id").cast("string").alias("name"), F.col("source").alias("sample"), "lang", F.col("text").alias("seq")).withColumn("len", F.length("seq"))
 
 
 class Malformed(ValueError):

@@ -119,7 +119,9 @@ def test_sex_chromosomes(spark):
     rows = [(1, "a", 1, y), (2, "b", 2, x), (3, "c", 1, "TTTTTTTTTT"), (4, "d", 2, "")]
     got = sexchr.sex_counts(spark.createDataFrame(rows, "seq_id long, name string, hap int, seq string"), flags, 5)
     parts = {r.seq_id: (r.nk, r.ns, r.n1, r.n2, r.part) for r in sexchr.partition(got).collect()}
-    assert parts == {1: (6, 6, 6, 0, 1), 2: (6, 6, 0, 6, 2), 3: (6, 0, 0, 0, 2), 4: (0, 0, 0, 0, 1)}
+    assert parts == {1: (6, 6, 6, 0, 1), 2: (6, 6, 0, 6, 2), 3: (6, 0, 0, 0, 1), 4: (0, 0, 0, 0, 2)}
+    swapped = got.withColumn("hap", 3 - got.hap)
+    assert {r.seq_id: r.part for r in sexchr.partition(swapped).collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
 
 
 def test_comparison(spark):

@@ -40,7 +40,7 @@ def test_stream_counts(spark, tmp_path):
     q = stream.counts(stream.read_sequences(spark, str(tmp_path / "in"), 1), 4).writeStream.format("memory").queryName("kc").outputMode("complete").start()
     try:
         q.processAllAvailable()
-        assert {r.kmer: r.cnt for r in spark.table("kc").collect()} == {"ACGT": 2, "CGTA": 1, "GTAC": 1, "AAAA": 1, "ACGT": 2} | {"CGTA": 1, "GTAC": 1}
+        assert {r.kmer: r.cnt for r in spark.table("kc").collect()} == {"ACGT": 2, "CGTA": 2, "GTAC": 1, "AAAA": 1}
     finally:
         q.stop()
     table = spark.createDataFrame([("AAAA", 7)], "kmer string, cnt int")
