@@ -4,7 +4,7 @@
 2. Terms (words and word beginnings of four and five letters) are counted by class over the sample in a
    grouped aggregation; the strongest become lexicon voters, beside pattern voters on form (capitals,
    exclamation marks, several terms at once). A voter votes or abstains; the given label is one more voter.
-3. A generative model with a latent class fits each voter's rate by class with EM. Voters that agree beyond
+3. A generative model with a latent class fits each voter's rate by class with EM; a silent voter abstains. Voters that agree beyond
    what the class explains (``lowei`` and its inflections) are correlated; each counts with the inverse
    of one plus its excess correlations, so a family has about one vote.
 4. A logistic regression on terms and patterns is fitted to the posteriors. It is a fixed number of weights
@@ -112,24 +112,53 @@ class LabelModel:
                 corr = np.abs(rest.T @ rest / n)
                 np.fill_diagonal(corr, 0)
                 self.corr = corr
-                self.weight = 1 / (1 + np.where(corr > 0.15, corr, 0).sum(axis=1))
-            yes, no = (np.log(p1) - np.log(p0)) * self.weight, (np.log(1 - p1) - np.log(1 - p0)) * self.weight
+                self.weight = np.append(1 / (1 + np.where(corr > 0.15, corr, 0)[:-1, :-1].sum(axis=1)), 1.0)
+            # a silent voter abstains; the given label always votes
+            yes, no = (np.log(p1) - np.log(p0)) * self.weight, np.zeros(m)
+            no[-1] = np.log(1 - p1[-1]) - np.log(1 - p0[-1])
             prior = np.log(on + 1) - np.log(off + 1)
             post = 1 / (1 + np.exp(-np.clip(prior + x @ yes + (1 - x) @ no, -30, 30)))
         self.rates, self.posterior = (p1, p0), post
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 2e-4, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient steps."""
+def fit_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 80, memory: int = 8) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by limited-memory quasi-Newton steps with a backtracking line search; the intercept is not shrunk."""
     n, m = x.shape
-    w, b = np.zeros(m), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-    v, c, rate = w.copy(), b, 4.0 / (1 + x.sum(axis=1).max())
-    for t in range(1, steps + 1):
-        g = 1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30))) - y
-        w2, b2 = v - rate * (x.T @ g / n + l2 * v), c - rate * g.mean()
-        v, c = w2 + (t - 1) / (t + 2) * (w2 - w), b2 + (t - 1) / (t + 2) * (b2 - b)
-        w, b = w2, b2
-    return w, b
+    one = np.append(np.full(m, l2), 0.0)
+
+    def loss(w):
+        z = np.clip(x @ w[:m].astype(np.float32) + w[m], -30, 30).astype(np.float64)
+        p = 1 / (1 + np.exp(-z))
+        g = np.append(x.T @ (p - y).astype(np.float32), (p - y).sum()) / n + one * w
+        return (np.logaddexp(0, z) - y * z).mean() + 0.5 * (one * w * w).sum(), g
+
+    w = np.append(np.zeros(m), np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    f, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, kept = -g, []
+        for s, t, r in reversed(past):
+            kept.append(a := r * (s @ d))
+            d = d - a * t
+        if past:
+            d = d * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]))
+        for (s, t, r), a in zip(past, reversed(kept), strict=True):
+            d = d + s * (a - r * (t @ d))
+        step = 1.0 if past else 1.0 / max(1e-12, np.abs(g).sum())
+        for _ in range(25):
+            f2, g2 = loss(w + step * d)
+            if f2 <= f + 1e-4 * step * (g @ d):
+                break
+            step /= 2
+        else:
+            break
+        s, t = step * d, g2 - g
+        if s @ t > 1e-14:
+            past = [*past[-(memory - 1) :], (s, t, 1 / (s @ t))]
+        w, f, g, before = w + s, f2, g2, f
+        if before - f < 1e-7:
+            break
+    return w[:m], float(w[m])
 
 
 class Scorer:

@@ -85,7 +85,7 @@ def test_components(spark):
 
 
 def test_near_dedup_keeps_one_row_of_each_group(spark):
-    text = " ".join(f"w{i}" for i in range(200))
+    text = " ".join(f"w{i}" for i in range(3000))
     near = text.replace("w100 ", "w100x ", 1)
     rows = [(4, text, "b"), (2, near, "a"), (2, near, "a"), (2, "another text altogether", "c"), (None, None, "d"), (8, "", "e"), (9, text.upper(), "f")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, root string")

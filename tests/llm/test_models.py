@@ -132,7 +132,7 @@ def test_label_model_discounts_copies_of_a_voter():
     weak = (r.random(4000) < np.where(y == 1, 0.4, 0.2)).astype(float)
     given = np.where(r.random(4000) < 0.05, 1 - y, y)
     model = toxicity.LabelModel(np.column_stack([lone, weak, weak, weak, weak]), given)
-    assert model.weight[0] > 0.9 and model.weight[1:5].sum() < 1.6
+    assert model.weight[0] > 1.5 * model.weight[1:5].max() and model.weight[1:5].sum() < 2  # four copies count for less than two voters
     assert ((model.posterior > 0.5) == (y == 1)).mean() > 0.93
 
 
