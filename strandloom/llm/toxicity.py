@@ -96,6 +96,8 @@ class LabelModel:
         x = np.column_stack([votes, given]).astype(np.float64)
         n, m = x.shape
         post = 0.02 + 0.96 * given
+        # the class balance is that of the given labels: votes are all for one side, so they can't tell it
+        prior = np.log(given.sum() + 1) - np.log(n - given.sum() + 1)
         self.weight = np.ones(m)
         for i in range(rounds):
             on, off = post.sum(), (1 - post).sum()
@@ -116,7 +118,6 @@ class LabelModel:
             # a silent voter abstains; the given label always votes
             yes, no = (np.log(p1) - np.log(p0)) * self.weight, np.zeros(m)
             no[-1] = np.log(1 - p1[-1]) - np.log(1 - p0[-1])
-            prior = np.log(on + 1) - np.log(off + 1)
             post = 1 / (1 + np.exp(-np.clip(prior + x @ yes + (1 - x) @ no, -30, 30)))
         self.rates, self.posterior = (p1, p0), post
 

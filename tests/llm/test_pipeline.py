@@ -55,6 +55,6 @@ def test_stages(spark, tables, tmp_path):
 def test_run_and_registration(spark, tables):
     import __spark_entry__ as entry
 
-    assert entry.queries()["pipeline"] is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
+    assert entry.queries()["pipeline"].__wrapped__ is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
     assert [n for n in range(1, 11) if not any(re.match(rf"op{n}_", q) for q in entry.queries())] == []
     assert corpus_pipeline.run(spark, tables[0]).count() > 150
