@@ -36,6 +36,8 @@ from strandloom.llm.words import Dictionary
 MAGIC, END = b"SLTOK1\0\0", b"SLTK"
 #: The dictionary is trained on this many documents, those of the smallest id hash, of each at most so many bytes of ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 4_096, 65_536
+#: Chunks that a worker keeps, and words in one call of the library.
+KEPT, LINES = 500_000, 64
 INDEX = (("id", np.int64), ("has_id", np.uint8), ("offset", np.uint64), ("bytes", np.uint64), ("n_tokens", np.uint64))
 
 
@@ -47,7 +49,8 @@ class LibraryEncoder:
         self.lib.no_truncation(), self.lib.no_padding()
         self.width = np.dtype(np.uint16 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.dictionary = Dictionary(self._words)
+        self.dictionary = Dictionary(self._words, KEPT)
+        self.newline = self.lib.encode("\n", add_special_tokens=False).ids
         kinds = json.loads(self.lib.to_str())
         self.splits = kinds["normalizer"] is None and kinds["post_processor"] is None and kinds["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
@@ -55,7 +58,18 @@ class LibraryEncoder:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
-        return [np.array(got.ids, self.width).tobytes() for got in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of pre-tokens. Words of letters go to the library as lines of a text, where they stay pre-tokens and a newline is one too."""
+        size, out = self.width.itemsize, dict.fromkeys(words, b"")
+        plain = [w for w in words if w[w[:1] == " " :].isalpha()] if len(self.newline) == 1 else []
+        held = set(plain)
+        for got, w in zip(self.lib.encode_batch_fast(odd := [w for w in words if w not in held], add_special_tokens=False), odd, strict=True):
+            out[w] = np.array(got.ids, self.width).tobytes()
+        lines = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
+        for own, got in zip(lines, self.lib.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, self.width)
+            raw, ends = ids.tobytes(), (size * np.flatnonzero(ids == self.newline[0])).tolist()
+            out.update(zip(own, [raw[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(raw)], strict=True)], strict=True))
+        return [out[w] for w in words]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width``."""

@@ -77,12 +77,12 @@ class Dictionary:
         return [b"".join([*map(of_whole, w), *map(of_spaced, s)]) for w, s in parts]
 
     def _fill(self, whole: set[str], spaced: set[str]) -> None:
-        split_whole = [(c, words_of(c)) for c in sorted(whole)]
-        split_spaced = [(c, words_of(" " + c)) for c in sorted(spaced)]
+        split_whole = [(c, words_of(c)) for c in whole]
+        split_spaced = [(c, words_of(" " + c)) for c in spaced]
         known = self.whole
         single = [w[0] for _, w in split_spaced if len(w) == 1]
         several = {w for _, ws in split_spaced if len(ws) > 1 for w in ws} | {w for _, ws in split_whole for w in ws}
-        new = sorted(several.difference(known))
+        new = list(several.difference(known))
         got = self.encode_words(new + single)
         known.update(zip(new, got, strict=False))
         lone = iter(got[len(new) :])
