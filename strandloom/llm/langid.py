@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.llm.common import cut, table
+from strandloom.llm.common import bounded_sample, cut, slices, table
 
 TRAIN_ROWS, BUCKETS, KAPPA, TEMPER, SMOOTH = 6_000, 1 << 15, 20.0, 0.4, 5.0
 HIDDEN = re.compile(r"<(script|style)\b", re.I)
@@ -67,11 +67,12 @@ def buckets(text: str | None) -> np.ndarray:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log probability of each trigram bucket by language."""
-    sample = docs.select(F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang"), F.xxhash64(id_col).alias("h")).filter("lang is not null and text is not null").orderBy("h").limit(rows)
+    known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")).filter("lang is not null and text is not null")
+    sample = bounded_sample(known, "__id", rows)
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 if lang not in sums:
                     sums[lang] = np.zeros(BUCKETS)
@@ -93,7 +94,7 @@ def evidence(pages: DataFrame, langs: list[str], table_: np.ndarray, id_col: str
     logs = np.ascontiguousarray(table_.T.astype(np.float32))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for url, page in zip(b.column(1), b.column(2), strict=True):
                 m = HOST.match(url.as_py() or "")
