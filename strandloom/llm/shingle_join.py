@@ -1,0 +1,108 @@
+"""Near copies by exact Jaccard similarity of their sets of word shingles: every pair at 4/5 or more is linked.
+
+Shingles are 64-bit hashes in one total order. Two sets at similarity 4/5 or more share a shingle among the
+first n // 5 + 1 of each (n: its size), so documents meet on the shingles of those prefixes. Frequent
+shingles (from a bounded sample; it decides about cost only) come last in the order, so boilerplate
+hardly brings documents together. A pair with c common prefix shingles has at most c + max(n - prefix) in common, which
+drops most pairs; the others are verified on whole sets, made anew from the texts of candidates only.
+
+First every document is held against the smallest that it meets at a shingle, a star that is linear in the rows. What that
+links is one component; pairs are then formed only between documents of different components, so
+a large group of near copies does not cost its square. Equal sets are one node before all this.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window, functions as F
+
+from strandloom.llm.common import cut, slices
+from strandloom.llm.components import connected_components
+
+#: Documents and shingles that the order of frequent shingles may rest on.
+SAMPLE, FREQUENT = 20_000, 200_000
+
+
+def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, shingles, least: int = 4) -> np.ndarray:
+    """Sorted hashes of shingles in ``least`` or more of about ``SAMPLE`` documents, at most ``FREQUENT``."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches):
+        for b in slices(batches):
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py()).view(np.int64))], ["s"])
+
+    some = docs.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(every)) == 0).select(F.col(text_col).alias("t"))
+    counted = some.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    top = counted.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, shingles, last: np.ndarray) -> DataFrame:
+    """``(id, text_hash, key, n, prefix)`` for every row; the key stands for the whole set."""
+
+    def run(batches):
+        for b in slices(batches):
+            keys, sizes, heads = [], [], []
+            for x in b.column(2):
+                s = shingles(x.as_py())
+                late = np.isin(s, last, assume_unique=True)
+                keys.append(xxhash.xxh64_intdigest(s.tobytes(), 7)), sizes.append(len(s))
+                heads.append(np.concatenate((s[~late], s[late]))[: len(s) // 5 + 1].view(np.int64))
+            ends = np.cumsum([0, *map(len, heads)])
+            flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "text_hash", "key", "n", "prefix"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
+    return src.mapInArrow(run, f"id {kind}, text_hash long, key long, n int, prefix array<long>")
+
+
+def _possible(pairs: DataFrame) -> DataFrame:
+    """Pairs ``(a, an, b, bn)``, one row for each common prefix shingle, that can still be at 4/5 or more."""
+    rest = lambda n: F.col(n) - F.floor(F.col(n) / 5) - 1
+    counted = pairs.groupBy("a", "an", "b", "bn").agg(F.count(F.lit(1)).alias("c"))
+    return counted.filter(9 * (F.col("c") + F.greatest(rest("an"), rest("bn"))) >= 4 * (F.col("an") + F.col("bn"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shingles) -> DataFrame:
+    """The pairs ``(u, v)`` whose whole sets are at 4/5 or more."""
+    pairs = cut(pairs)
+    asked = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
+    one = found.join(asked, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "text_hash")).alias("m"))
+    one = one.select("key", F.col("m.id").alias("__i"), F.col("m.text_hash").alias("__h"))
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    texts = src.join(one, F.col("id").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h"))).dropDuplicates(["key"]).select("key", "t")
+
+    def run(batches):
+        for b in slices(batches, 100):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py()).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], ["key", "s"])
+
+    sets = cut(texts.mapInArrow(run, "key long, s array<long>"))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def near_groups(docs: DataFrame, id_col: str, text_col: str, shingles) -> DataFrame:
+    """``(id, text_hash, root)`` for every row; equal roots are one component of the pairs at 4/5 or more.
+
+    ``shingles`` gives the sorted distinct shingle hashes of a text. Texts without shingles are one component.
+    """
+    found = cut(prefixes(docs, id_col, text_col, shingles, frequent_shingles(docs, id_col, text_col, shingles)))
+    rows = found.dropDuplicates(["key"]).select("key", "n", F.explode("prefix").alias("s"))
+    at = Window.partitionBy("s")
+    met = rows.withColumns({"m": F.count(F.lit(1)).over(at), "low": F.min(F.struct("key", "n")).over(at)})
+    met = cut(met.filter("m > 1").drop("m"))
+    near = (F.col("an") * 5 >= F.col("bn") * 4) & (F.col("bn") * 5 >= F.col("an") * 4)
+    star = met.select(F.col("low.key").alias("a"), F.col("low.n").alias("an"), F.col("key").alias("b"), F.col("n").alias("bn")).filter("a <> b").filter(near)
+    links = cut(_verified(_possible(star), docs, found, id_col, text_col, shingles))
+    roots = connected_components(links).withColumnRenamed("node", "key")
+    held = cut(met.drop("low").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    mixed = cut(held.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("s").join(held, "s"))
+    side = lambda k: mixed.select("s", F.col("key").alias(k), F.col("n").alias(f"{k}n"), F.col("root").alias(f"{k}r"))
+    across = side("a").join(side("b"), "s").filter("a < b and ar <> br").filter(near)
+    more = _verified(_possible(across), docs, found, id_col, text_col, shingles)
+    roots = connected_components(links.unionAll(more)).withColumnRenamed("node", "key")
+    return found.join(roots, "key", "left").select("id", "text_hash", F.coalesce("root", "key").alias("root"))

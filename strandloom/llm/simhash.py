@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandloom.llm.common import cut, slices, table
 from strandloom.llm.components import connected_components
+from strandloom.llm.shingle_join import near_groups
 
 BITS, HALF = 64, 2
 
@@ -168,9 +169,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest (id, text hash), nulls first; rows that repeat both count as one.
 
-    The defaults take shingles of five words; 4 of 64 bits are an estimated cosine of 0.98.
+    Documents are linked if their sets of shingles of ``width`` words have a Jaccard similarity of 0.8 or more: all such
+    pairs, which fingerprints alone do not find (see ``shingle_join``). Null and blank texts are one component.
     """
-    first = simhash_groups(docs, id_col, text_col, width).groupBy("root").agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("m"))
+    groups = near_groups(docs, id_col, text_col, lambda text: np.unique(_shingle_hashes(text, width)))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("id").alias("i"), F.col("text_hash").alias("h"))).alias("m"))
     kept = first.select(F.col("m.i").alias("__ki"), F.col("m.h").alias("__kh"))
     keyed = docs.withColumn("__h", F.xxhash64(text_col))
     found = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__ki")) & (F.col("__h") == F.col("__kh")), "left_semi")

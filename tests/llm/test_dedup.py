@@ -128,3 +128,27 @@ def test_line_windows_of_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, "a\nb\nc")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text) for r in line_dedup.line_dedup(docs).collect())
     assert got == [("1", text), ("1", text), ("2", ""), ("None", "a\nb\nc")]
+
+
+def test_near_dedup_links_every_pair_at_four_fifths(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    line = " ".join(word() for _ in range(12))
+    rows, changes = [], ((1, 30), (1, 50), (2, 90), (3, 150), (6, 300), (5, 200), (4, 100), (20, 1000))
+    for n_changed, n in changes * 4:
+        w = [word() for _ in range(n)]
+        rows.append((len(rows), " ".join(w) + " " + line))
+        for at in r.sample(range(n), n_changed):
+            w[at] = word()
+        rows.append((len(rows), " ".join(w) + " " + line))
+    rows += [(len(rows) + i, line + " " + word()) for i in range(5)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    label, close = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if 9 * (both := len(sets[i] & sets[j])) >= 4 * (len(sets[i]) + len(sets[j])):
+                close += both < 0.9 * len(sets[i] | sets[j])
+                label = [label[j] if x == label[i] else x for x in label] if label[j] < label[i] else [label[i] if x == label[j] else x for x in label]
+    assert close >= 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.near_dedup(docs).collect()) == sorted(set(label))
