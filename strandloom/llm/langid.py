@@ -33,11 +33,24 @@ from strandloom.llm.common import bounded_sample, cut, slices, table
 TRAIN_ROWS, BUCKETS, KAPPA, TEMPER, SMOOTH = 6_000, 1 << 15, 20.0, 0.4, 5.0
 HIDDEN = re.compile(r"<(script|style)\b", re.I)
 CLOSING = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style")}
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+ROOT = re.compile(r"<html\b", re.I)
+DECLARED = re.compile(r"<html\b[^>]*?\blang\s*+=\s*+[\"']?\s*+([A-Za-z]{2,3})\b", re.I)
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def declared_of(page: str) -> str | None:
+    """The language that the first ``<html`` tag with one declares, wherever it stands. Each tag is read once, up to its end."""
+    at = 0
+    while m := ROOT.search(page, at):
+        end = page.find(">", m.end())
+        end = end if end >= 0 else len(page)
+        if said := DECLARED.match(page, m.start(), end):
+            return said[1].lower()
+        at = end
+    return None
+
+
 def text_of(page: str | None) -> str:
     """The text between the tags of a page; comments, scripts and styles, closed or not, are dropped. One pass."""
     page, out, at = page or "", [], 0
@@ -101,11 +114,11 @@ def evidence(pages: DataFrame, langs: list[str], table_: np.ndarray, id_col: str
                 host = m[1].lower().rstrip(".") if m else None
                 parts = host.split(".") if host else []
                 page = page.as_py() or ""
-                said = DECLARED.search(page, 0, 20_000)
+                said = declared_of(page)
                 at = buckets(text_of(page))
                 ll = temper * logs[at].sum(axis=0, dtype=np.float64) if len(at) else np.zeros(len(langs))
                 p = np.exp(ll - ll.max())
-                rows.append((host, ".".join(parts[-2:]) or None, parts[-1] if len(parts) > 1 else None, said[1].lower() if said else None, len(at), ll.tolist(), (p / p.sum()).tolist()))
+                rows.append((host, ".".join(parts[-2:]) or None, parts[-1] if len(parts) > 1 else None, said, len(at), ll.tolist(), (p / p.sum()).tolist()))
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))] if rows else [b.column(0), *(pa.array([], k) for k in kinds)], ["id", "host", "domain", "suffix", "declared", "n_letters", "ll", "p"])
 

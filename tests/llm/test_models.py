@@ -171,6 +171,20 @@ def test_page_text():
     langid.text_of("<!--" * 50_000), langid.text_of("<script" * 30_000), langid.text_of("<" * 200_000)
 
 
+def test_declared_language_of_a_late_tag(spark):
+    late = f"<!-- {'licence ' * 5_000} --><HTML class=x Lang = ' fr-CA'><p>kalo"
+    table_ = np.log(np.full((2, langid.BUCKETS), 1 / langid.BUCKETS))
+    pages_ = spark.createDataFrame([(1, None, late), (2, None, "<html><htmlx lang=aa><html data-x=1 lang=de>"), (3, None, None)], "page_id long, url string, html string")
+    assert {x.id: x.declared for x in langid.evidence(pages_, ["aa", "fr"], table_).collect()} == {1: "fr", 2: "de", 3: None}
+    whole = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+    r = random.Random(4)
+    for _ in range(3000):
+        page = "".join(r.choice(("<html", "<HTML ", ">", " lang", "=", "'", " ", "en", "x", "<p ")) for _ in range(14))
+        assert langid.declared_of(page) == (m[1].lower() if (m := whole.search(page)) else None), page
+    for page in ("<html " * 100_000, "<html lang" * 50_000, "<html lang=" + " " * 200_000, "<html>" * 100_000):
+        assert langid.declared_of(page) is None or page.startswith("<html lang")
+
+
 @pytest.mark.parametrize("floor", [0.0, 1.0])
 def test_rates_meet_the_targets(spark, floor):
     r = np.random.default_rng(2)
