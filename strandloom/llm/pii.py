@@ -2,8 +2,8 @@
 
 The base finds e-mail addresses, IPv4 addresses, payment cards and international phone
 numbers. The field then reads the stretches of text where further spans can lie (clusters
-of digits, addresses written out as "name at host dot org"), scores every candidate
-segment as a whole (digit groups, separators, check digit, octets, cue words to its left)
+of digits, addresses written out as "name at host dot org" or "name(at)host.org", in any
+case and with any white space), scores every candidate segment as a whole (digit groups, separators, check digit, octets, cue words to its left)
 and chooses boundaries and types jointly by dynamic programming over segments of at most
 ``LONGEST`` tokens. Tokens outside of the stretches hold no candidate segment, so the best path
 there is "no entity" and leaving them out is exact. Segments that overlap a base span are dropped.
@@ -86,6 +86,10 @@ def base_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\sA-Za-z0-9]")
 CLUSTER = re.compile(r"(?<![A-Za-z0-9+(])[+(]?[(]?[0-9](?:[ ().\-/]{0,2}[0-9])++(?![A-Za-z0-9])")
 SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}\s?(?:[\[(]\s?at\s?[\])]|\sat\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[(]\s?dot\s?[\])]|\sdot\s|\.)\s?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+#: What every match of ``SPELLED`` holds.
+AT = re.compile(r"[\[(]\s?at\s?[\])]|\sat\s", re.I)
+#: Which of them are written out: "look at host.org" is none, "name(at)host.org" is one.
+WRITTEN = re.compile(r"[\[(]\s?at\s?[\])]|dot", re.I)
 TLDS = ("com", "org", "net", "edu", "gov", "info", "de", "fr", "es", "uk", "eu", "io")
 CUES = {"email": ("mail", "email", "contact", "write"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "mastercard", "amex", "credit"), "phone": ("phone", "tel", "call", "mobile", "fax")}
 
@@ -143,10 +147,8 @@ def stretches(text: str) -> list[tuple[int, int]]:
     found = []
     if SEVEN.search(text):
         found += [m.span() for m in CLUSTER.finditer(text) if m.end() - m.start() >= 7]
-    if " at " in text or "(at" in text or "[at" in text or "( at" in text or "[ at" in text:
-        low = text.lower()
-        if "dot" in low:
-            found += [m.span() for m in SPELLED.finditer(text) if "dot" in m[0].lower()]
+    if AT.search(text):
+        found += [m.span() for m in SPELLED.finditer(text) if WRITTEN.search(m[0])]
     found.sort()
     out: list[tuple[int, int]] = []
     for a, b in found:

@@ -50,6 +50,15 @@ def test_field_finds_other_formats_and_leaves_look_alikes():
     assert crf.spans("Version 2.0 of 2024-05-17, order 12345678, 4785380592391138") == []
 
 
+@pytest.mark.parametrize("address", ["john (AT) example (DOT) org", "JOHN AT EXAMPLE DOT ORG", "john\nat example dot org", "john\tat\texample dot org", "john(at)example(dot)org", "john(at)example.com", "john [\nAt ] example [dot] org", "john\u00a0at\u00a0example dot org"])
+def test_spelled_addresses_do_not_depend_on_case_or_surroundings(address):
+    crf = pii.field()
+    text = f"please write {address}, thanks"
+    assert any(a <= 13 and 13 + len(address) <= b for a, b in pii.stretches(text))
+    alone, beside = pii.find(text, crf)[1], pii.find(text + "; we meet at noon", crf)[1]
+    assert alone == beside and ("email", 13, 13 + len(address)) in alone
+
+
 def test_field_path_is_the_best_of_all():
     crf = pii.field()
     text = "call (743) 555-3824 4111 1111 1111 1111 now"
