@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.functions.bases import decode, encode, hash_code
+from strandloom.functions.bases import decode, encode, hash_code, saturated
 from strandloom.operators import compare, kmers, lookup, quality, regions, sexchr, table as tables, trio
 from strandloom.operators.options import QualityOptions
 from strandloom.plans.oracle import ORACLE
@@ -55,6 +55,14 @@ def _windows(s: DataFrame) -> DataFrame:
     return s.filter("len > 0").select("seq_id", "name", F.explode(starts).alias("st"), "seq").select("seq_id", "name", F.substring(F.col("seq"), F.col("st") + 1, F.lit(100)).alias("seq"))
 
 
+def _window_counts(s: DataFrame, k: int) -> DataFrame:
+    """``tables.count(_windows(s), k)`` without the windows: a k-mer counts once for each window that holds it, as its position tells."""
+    last = F.floor(F.greatest(F.lit(0), F.col("len") - 100) / 5)
+    held = F.least(last, F.floor((F.col("pos") - (k - 1)) / 5)) - F.greatest(F.lit(0), F.ceil((F.col("pos") - 99) / 5)) + 1
+    n = kmers.explode_kmers(s, k, "seq_id", "len").withColumn("held", held).filter("held > 0").groupBy("kmer").agg(F.sum("held").alias("n"))
+    return n.select("kmer", saturated("n").alias("cnt"))
+
+
 def _mutated(s: DataFrame) -> DataFrame:
     """Bases at 0-based positions 199, 599, 999, ... are replaced by the next letter of A, C, G, T, A."""
     n = F.floor((F.length("seq") + 200) / 400).cast("int")
@@ -72,9 +80,8 @@ def _round(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def _solved(s: DataFrame) -> DataFrame:
-    """The model over windows of sources 0 and 1, read against mutated sequences of the same."""
-    own = part(s, 0, 1)
-    spec = quality.spectrum(_mutated(own), tables.count(_windows(own), K), K).withColumn("grp", F.lit("src0-1"))
+    """The model over windows of all sources, read against mutated sequences of the same."""
+    spec = quality.spectrum(_mutated(s), _window_counts(s, K), K).withColumn("grp", F.lit("all"))
     return _round(quality.solve_groups(spec, K).drop("adj"), qv_raw=3, qv=3, cov=3, err=3, fpr_lower=6, fpr_upper=6)
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from strandloom.operators import compare, islands as isl, lookup, quality, regions, sexchr, table as tables, trio
 from strandloom.operators.options import QualityOptions, RegionOptions, TrioOptions
+from strandloom.plans import catalog
 from tests.test_kmers import seqs
 
 PAT = "TTTCCTCATGCAATTCAAAACCATGTCCGTAATGTAGGCGAAATAGTAAACCATTTTACG"
@@ -135,3 +136,16 @@ def test_comparison(spark):
     assert got == {3: (2, 0), 2: (3, 0), 1: (4, 1)}
     with pytest.raises(ValueError):
         compare.sensitivity(left, right, 2000)
+
+
+def test_solver_query_reads_all_sources(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    genome = "".join(rng.choice(list("ACGT"), 3000))
+    rows = [(i, genome[a : a + n], "en", f"src{i % 20}") for i, (a, n) in enumerate(zip(rng.integers(0, 2000, 60).tolist(), [*rng.integers(0, 900, 54).tolist(), 20, 21, 99, 100, 101, 104], strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    s = catalog.sequences(spark, str(tmp_path))
+    for own in (s, catalog.part(s, 0, 1)):
+        want = {r.kmer: r.cnt for r in tables.count(catalog._windows(own), catalog.K).collect()}
+        assert {r.kmer: r.cnt for r in catalog._window_counts(own, catalog.K).collect()} == want
+    got = catalog.QUERIES["qv_solve"](spark, str(tmp_path)).collect()
+    assert [r.tot for r in got] == [sum(max(0, len(t) - catalog.K + 1) for _, t, _, _ in rows)]
