@@ -89,7 +89,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for text, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 if lang not in sums:
                     sums[lang] = np.zeros(BUCKETS)
-                sums[lang] += np.minimum(np.bincount(buckets(text.as_py()), minlength=BUCKETS), 50)
+                sums[lang] += np.bincount(buckets(text.as_py()), minlength=BUCKETS)
         for lang, s in sums.items():
             yield pa.RecordBatch.from_pylist([{"lang": lang, "counts": s.tobytes()}])
 

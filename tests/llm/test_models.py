@@ -180,6 +180,14 @@ def test_page_text():
     langid.text_of("<!--" * 50_000), langid.text_of("<script" * 30_000), langid.text_of("<" * 200_000)
 
 
+def test_training_counts_every_trigram(spark):
+    docs = [(1, "kalo " * 200, "aa"), (2, "kalo mitu", "aa"), (3, "dorn", "bb")]
+    langs, logs = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    for lang, row in zip(langs, logs, strict=True):
+        n = sum(np.bincount(langid.buckets(t), minlength=langid.BUCKETS) for _, t, k in docs if k == lang)
+        assert row == pytest.approx(np.log((n + 0.05) / (n.sum() + 0.05 * langid.BUCKETS)))
+
+
 def test_declared_language_of_a_late_tag(spark):
     late = f"<!-- {'licence ' * 5_000} --><HTML class=x Lang = ' fr-CA'><p>kalo"
     table_ = np.log(np.full((2, langid.BUCKETS), 1 / langid.BUCKETS))
