@@ -35,7 +35,7 @@ from strandloom.llm.words import Dictionary
 
 MAGIC, END = b"SLTOK1\0\0", b"SLTK"
 #: The dictionary is trained on this many documents, those of the smallest id hash, of each at most so many bytes of ids.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 4_096, 65_536
+SAMPLE_DOCS, SAMPLE_BYTES, BLOCK_BYTES, DICTIONARY_BYTES = 1_000, 4_096, 512, 65_536
 #: Chunks that a worker keeps, and words in one call of the library.
 KEPT, LINES = 500_000, 64
 INDEX = (("id", np.int64), ("has_id", np.uint8), ("offset", np.uint64), ("bytes", np.uint64), ("n_tokens", np.uint64))
@@ -90,6 +90,15 @@ def _encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
+def spread(raw: bytes, width: int) -> bytes:
+    """At most ``SAMPLE_BYTES`` of a document's ids: all, or blocks at even distances from its first id to its last."""
+    if len(raw) <= SAMPLE_BYTES:
+        return raw
+    n = SAMPLE_BYTES // BLOCK_BYTES
+    starts = [(len(raw) - BLOCK_BYTES) // width * i // (n - 1) * width for i in range(n)]
+    return b"".join(raw[a : a + BLOCK_BYTES] for a in starts)
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int | None) -> bytes:
     """A zstandard dictionary from the serialized ids of a bounded sample; empty if the sample is too small to train on."""
 
@@ -97,7 +106,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str, text_col: str
         enc = _encoder(tokenizer)
         for b in slices(batches):
             tail = b"" if end_id is None else np.array([end_id], enc.width).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([(x + tail)[:SAMPLE_BYTES] for x in enc.encode(b.column(0).to_pylist())], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([spread(x + tail, np.dtype(enc.width).itemsize) for x in enc.encode(b.column(0).to_pylist())], pa.binary())], ["ids"])
 
     sample = bounded_sample(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__id", SAMPLE_DOCS)
     rows = [bytes(r[0]) for r in sample.select("__text").mapInArrow(run, "ids binary").collect()]

@@ -126,3 +126,19 @@ def test_short_document_access_and_empty_tables(spark, tmp_path):
     assert token_files.read_document(uri, 500) == []
     empty = token_files.write_token_files(docs.limit(0), f"file://{tmp_path}/none", PATH)
     assert empty["shards"] == [] and token_files.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_dictionary_sample_spans_the_document():
+    for kind in ("<u2", "<u4"):
+        for n in (0, 5, 1_024, 2_048, 2_049, 3_001, 60_000):
+            ids = np.arange(n, dtype=kind)
+            got = np.frombuffer(token_files.spread(ids.tobytes(), ids.itemsize), kind)
+            assert got.nbytes == min(ids.nbytes, token_files.SAMPLE_BYTES) and (np.diff(got.astype(int)) > 0).all()
+            assert not n or (got[0] == 0 and got[-1] == n - 1)
+            assert n < 60_000 or np.diff(got.astype(int)).max() <= n // 7
+
+
+def test_dictionary_is_trained_on_long_documents(spark):
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choice(("alpha", "beta", "gamma", "delta")) for _ in range(4_000))) for i in range(12)]
+    assert token_files.train_dictionary(spark.createDataFrame(docs, "id long, text string"), PATH, "id", "text", 2)
