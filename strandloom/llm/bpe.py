@@ -31,20 +31,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandloom.llm.common import cut, scratch, slices, table
 from strandloom.llm.files import open_out
-from strandloom.llm.words import Dictionary, chunks, words_of
+from strandloom.llm.words import Dictionary, byte_letters, chunks, words_of
 
 LEXICON = 32_768
 NONE = np.int32(2**31 - 1)
 MAGIC = b"LEXA"
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in the vocabulary file, inverted."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    shifted = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shifted)}
-
-
 class Vocabulary:
     """Ranks, ids and bytes of a byte-level BPE file."""
 

@@ -21,28 +21,37 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from strandloom.llm.common import bounded_sample, scratch, shuffle_cleanup, slices, table
 from strandloom.llm.files import open_in, open_out
-from strandloom.llm.words import Dictionary
+from strandloom.llm.words import Dictionary, byte_letters
 
 MAGIC, END = b"SLTOK1\0\0", b"SLTK"
 #: The dictionary is trained on this many documents, those of the smallest id hash, of each at most so many bytes of ids.
 SAMPLE_DOCS, SAMPLE_BYTES, BLOCK_BYTES, DICTIONARY_BYTES = 1_000, 4_096, 512, 65_536
-#: Chunks that a worker keeps, and words in one call of the library.
-KEPT, LINES = 500_000, 64
+#: Chunks that a worker keeps.
+KEPT = 500_000
 INDEX = (("id", np.int64), ("has_id", np.uint8), ("offset", np.uint64), ("bytes", np.uint64), ("n_tokens", np.uint64))
 
 
+#: What a byte-level file must say of its splitter and its model so that pre-tokens can be handed to the library's model on their own.
+SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+PLAIN = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
 class LibraryEncoder:
-    """The tokenizers library with a bounded dictionary from chunk to ids: each distinct pre-token is encoded once by a worker."""
+    """The tokenizers library with a bounded dictionary from chunk to ids: each distinct pre-token is encoded once by a worker.
+
+    New pre-tokens go to the library's model, without its cache, which costs more than the merges of a word that is met once.
+    """
 
     def __init__(self, path: str):
         self.lib = Tokenizer.from_file(path)
@@ -50,26 +59,31 @@ class LibraryEncoder:
         self.width = np.dtype(np.uint16 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.dictionary = Dictionary(self._words, KEPT)
-        self.newline = self.lib.encode("\n", add_special_tokens=False).ids
-        kinds = json.loads(self.lib.to_str())
-        self.splits = kinds["normalizer"] is None and kinds["post_processor"] is None and kinds["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        told = json.loads(self.lib.to_str())
+        model = told["model"]
+        self.splits = told["normalizer"] is None and told["post_processor"] is None and told["pre_tokenizer"] == SPLITTER and model["type"] == "BPE" and PLAIN.items() <= model.items()
+        if self.splits:
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self.model = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+            self.letters = np.zeros(256, np.uint16)
+            for letter, byte in byte_letters().items():
+                self.letters[byte] = ord(letter)
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of pre-tokens. Words of letters go to the library as lines of a text, where they stay pre-tokens and a newline is one too."""
-        size, out = self.width.itemsize, dict.fromkeys(words, b"")
-        plain = [w for w in words if w[w[:1] == " " :].isalpha()] if len(self.newline) == 1 else []
-        held = set(plain)
-        for got, w in zip(self.lib.encode_batch_fast(odd := [w for w in words if w not in held], add_special_tokens=False), odd, strict=True):
-            out[w] = np.array(got.ids, self.width).tobytes()
-        lines = [plain[i : i + LINES] for i in range(0, len(plain), LINES)]
-        for own, got in zip(lines, self.lib.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, self.width)
-            raw, ends = ids.tobytes(), (size * np.flatnonzero(ids == self.newline[0])).tolist()
-            out.update(zip(own, [raw[a:b] for a, b in zip([0, *(e + size for e in ends)], [*ends, len(raw)], strict=True)], strict=True))
-        return [out[w] for w in words]
+        """Ids of pre-tokens, in the letters that stand for bytes in the model."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        spelled = self.letters[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-16-le")
+        tokenize, ids, at, ends = self.model.tokenize, array("I"), 0, []
+        for w in raw:
+            end = at + len(w)
+            ids.extend([t.id for t in tokenize(spelled[at:end])])
+            ends.append(len(ids))
+            at = end
+        flat, size = np.frombuffer(ids, np.uint32).astype(self.width).tobytes(), self.width.itemsize
+        return [flat[size * a : size * b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian integers of ``width``."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import islice
+from itertools import chain, islice
 
 import regex
 from tokenizers.pre_tokenizers import ByteLevel
@@ -27,6 +27,13 @@ MARKS = frozenset(".,;:!?")
 KEPT = 240_000
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the vocabulary file, inverted."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    shifted = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(shifted)}
+
+
 def split(text: str) -> list[str]:
     """The pre-tokens of a text."""
     if WIDE.search(text):
@@ -53,6 +60,11 @@ def words_of(chunk: str) -> list[str]:
     return split(chunk)
 
 
+def plain(body: str) -> bool:
+    """Whether a part without spaces is one run of letters."""
+    return body.isalpha() and (body.isascii() or not WIDE.search(body))
+
+
 class Dictionary:
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], kept: int = KEPT):
         """``encode_words``: ids of distinct pre-tokens, as bytes."""
@@ -70,23 +82,42 @@ class Dictionary:
         parts = [chunks(t) for t in texts]
         if len(self.whole) + len(self.spaced) > self.kept:
             self.whole, self.spaced = (dict(islice(d.items(), len(d) // 2)) for d in (self.whole, self.spaced))
-        whole, spaced = set().union(*(w for w, _ in parts)).difference(self.whole), set().union(*(s for _, s in parts)).difference(self.spaced)
-        if whole or spaced:
-            self._fill(whole, spaced)
-        of_whole, of_spaced = self.whole.__getitem__, self.spaced.__getitem__
-        return [b"".join([*map(of_whole, w), *map(of_spaced, s)]) for w, s in parts]
+        whole, spaced = (list(chain.from_iterable(x)) for x in zip(*parts, strict=True))
+        of_whole, of_spaced = list(map(self.whole.get, whole)), list(map(self.spaced.get, spaced))
+        no_whole, no_spaced = ([i for i, x in enumerate(got) if x is None] for got in (of_whole, of_spaced))
+        if no_whole or no_spaced:
+            self._fill({whole[i] for i in no_whole}, {spaced[i] for i in no_spaced})
+            for i in no_whole:
+                of_whole[i] = self.whole[whole[i]]
+            for i in no_spaced:
+                of_spaced[i] = self.spaced[spaced[i]]
+        out, i, j = [], 0, 0
+        for w, s in parts:
+            out.append(b"".join(of_whole[i : i + len(w)] + of_spaced[j : j + len(s)]))
+            i, j = i + len(w), j + len(s)
+        return out
 
     def _fill(self, whole: set[str], spaced: set[str]) -> None:
+        """Encodes new chunks: words of letters, alone or before a mark, as spaced chunks of their own, others by their pre-tokens."""
+        known, held = self.whole, self.spaced
+        letters, marked, split_spaced = set(), [], []
+        for c in spaced:
+            if plain(c):
+                letters.add(c)
+            elif c[-1:] in MARKS and plain(body := c[:-1]):
+                marked.append((c, body))
+                if body not in held:
+                    letters.add(body)
+            else:
+                split_spaced.append((c, words_of(" " + c)))
         split_whole = [(c, words_of(c)) for c in whole]
-        split_spaced = [(c, words_of(" " + c)) for c in spaced]
-        known = self.whole
-        single = [w[0] for _, w in split_spaced if len(w) == 1]
-        several = {w for _, ws in split_spaced if len(ws) > 1 for w in ws} | {w for _, ws in split_whole for w in ws}
-        new = list(several.difference(known))
-        got = self.encode_words(new + single)
+        several = {w for _, ws in split_spaced for w in ws} | {w for _, ws in split_whole for w in ws}
+        if marked:
+            several.update(MARKS)
+        new, lone = list(several.difference(known)), list(letters)
+        got = self.encode_words(new + [" " + w for w in lone])
         known.update(zip(new, got, strict=False))
-        lone = iter(got[len(new) :])
-        for c, ws in split_spaced:
-            self.spaced[c] = next(lone) if len(ws) == 1 else b"".join([known[w] for w in ws])
-        for c, ws in split_whole:
-            known[c] = b"".join([known[w] for w in ws])
+        held.update(zip(lone, got[len(new) :], strict=True))
+        held.update([(c, held[body] + known[c[-1]]) for c, body in marked])
+        held.update([(c, b"".join([known[w] for w in ws])) for c, ws in split_spaced])
+        known.update([(c, b"".join([known[w] for w in ws])) for c, ws in split_whole])
