@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strandloom.llm import components, line_dedup, simhash
+from strandloom.llm import components, line_dedup, near_copies, simhash
 
 
 def brute_groups(rows, width=4):
@@ -84,6 +84,23 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def brute_near(rows, width=5):
+    """The smallest index that each row is connected with by pairs of shingle sets at 0.8 or more, and how many pairs are under 0.9."""
+    sets = []
+    for _, t in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")).split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    label, close = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both, whole = len(sets[i] & sets[j]), len(sets[i]) + len(sets[j])
+            if 9 * both >= 4 * whole and (both or not whole):
+                close += 10 * both < 9 * (whole - both)
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label, close
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(3000))
     near = text.replace("w100 ", "w100x ", 1)
@@ -142,13 +159,53 @@ def test_near_dedup_links_every_pair_at_four_fifths(spark):
             w[at] = word()
         rows.append((len(rows), " ".join(w) + " " + line))
     rows += [(len(rows) + i, line + " " + word()) for i in range(5)]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
-    label, close = list(range(len(rows))), 0
-    for i in range(len(rows)):
-        for j in range(i):
-            if 9 * (both := len(sets[i] & sets[j])) >= 4 * (len(sets[i]) + len(sets[j])):
-                close += both < 0.9 * len(sets[i] | sets[j])
-                label = [label[j] if x == label[i] else x for x in label] if label[j] < label[i] else [label[i] if x == label[j] else x for x in label]
+    low, close = brute_near(rows)
     assert close >= 10
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(x.doc_id for x in simhash.near_dedup(docs).collect()) == sorted(set(label))
+    assert sorted(x.doc_id for x in simhash.near_dedup(docs).collect()) == sorted(set(low))
+
+
+@pytest.mark.parametrize("block_texts", [1024, 20])
+def test_families_that_fill_several_blocks(spark, block_texts):
+    r = random.Random(block_texts)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    first = [word() for _ in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(first)
+        for at in r.sample(range(150), r.choice((0, 1, 2, 4, 8))):
+            w[at] = word()
+        rows.append((i, " ".join(w)))
+    low, _ = brute_near(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for x in near_copies.near_groups(docs, "doc_id", "text", 5, per_task=3_000, block_texts=block_texts).collect():
+        got.setdefault(x.root, set()).add(x.id)
+    want = {}
+    for i, c in enumerate(low):
+        want.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert 5 < len(want) < 120
+
+
+def test_recall_at_the_similarity_itself():
+    r = np.random.default_rng(1)
+    bits = near_copies.bits_for(250_000)
+    tables, sets = near_copies.tables_for(bits), []
+    for _ in range(400):
+        every = r.integers(0, 2**64, 111, dtype=np.uint64)
+        sets += [np.sort(every[:100]), np.sort(every[11:])]
+    got = near_copies.lanes_of(sets, range(1, 2 + tables))
+    apart = np.bitwise_count((got[0::2] ^ got[1::2]) & np.uint64((1 << bits) - 1))
+    assert (apart[:, 1:].min(axis=1) <= near_copies.RADIUS).mean() >= 0.98
+    assert (np.bitwise_count(got[0::2, 0] ^ got[1::2, 0]) <= near_copies.CHECK).mean() >= 0.98
+
+
+def test_fingerprints_count_bits_of_long_sets():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 255, 256, 2_000)]
+    got = near_copies.lanes_of(sets, range(3, 5))
+    for s, row in zip(sets, got, strict=True):
+        for lane, fp in zip((3, 4), row, strict=True):
+            h = near_copies._mixed(s, lane)
+            assert int(fp) == sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(s))

@@ -4,7 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_dedup import brute_groups, brute_lines
+from tests.llm.test_dedup import brute_lines, brute_near
 from tests.llm.test_models import corpus
 
 
@@ -41,8 +41,9 @@ def test_stages(spark, tables, tmp_path):
     want = brute_lines([(r.doc_id, r.text) for r in before])
     assert {r.doc_id: r.text for r in after if r.text is not None} == {i: t for i, (_, n, t) in want.items() if not n or t.strip(" ")}
     before, after = kept["near_dedup"]
-    _, low = brute_groups([(r.doc_id, r.text) for r in before], 5)
-    assert sorted(r.doc_id for r in after) == sorted(set(low))
+    rows = sorted(((r.doc_id, r.text) for r in before), key=lambda x: x[0])
+    low, _ = brute_near(rows)
+    assert sorted(r.doc_id for r in after) == sorted({rows[c][0] for c in low})
     before, after = kept["mixing"]
     assert {r.doc_id for r in before} == {r.doc_id for r in after} and len(after) >= len(before)
     before, after = kept["bpe"]
