@@ -29,7 +29,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandloom.llm.common import cut, scratch, slices, table
+from strandloom.llm.common import cut, others, scratch, slices, table
 from strandloom.llm.files import open_out
 from strandloom.llm.words import Dictionary, byte_letters, chunks, words_of
 
@@ -372,7 +372,7 @@ def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the ids of its text as ``array<int>``; a column of that name is replaced."""
-    keep = [c for c in docs.columns if c != ids_col]
+    keep = others(docs, ids_col)
     at = keep.index(text_col)
 
     def run(batches):
@@ -395,7 +395,7 @@ def decode_ids(vocab: Vocabulary, ids) -> bytes:
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids in ``out_col``."""
-    keep = [c for c in df.columns if c != out_col]
+    keep = others(df, out_col)
     at = keep.index(ids_col)
 
     def run(batches):

@@ -13,10 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def others(df: DataFrame, *added: str) -> list[str]:
+    """The columns of ``df`` without those that ``added`` names in any case, as Spark resolves names."""
+    names = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one is set only where none is."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where none is set, a local session gets one, a cluster an error."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not known and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not known:
         sc.setCheckpointDir(known := tempfile.mkdtemp(prefix="strandloom-"))
     elif not sc.getCheckpointDir():

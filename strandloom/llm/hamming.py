@@ -22,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.llm.common import cut, table
-from strandloom.llm.nearest import _matrix
 from strandloom.llm.tiles import dealt, finite_vectors
 
 
@@ -38,6 +37,18 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(packed).view(np.uint64)
 
 
+#: Signs in a word of a shuffled code.
+PACKED = 63
+
+
+def unpacked(col: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """``(rows, dim)`` bits of codes that were packed to words of ``PACKED`` signs; the last word holds the rest."""
+    words = col.combine_chunks().flatten().to_numpy().reshape(-1, -(-dim // PACKED))
+    bits = np.unpackbits(np.ascontiguousarray(words[:, :, None].astype(">i8")).view(np.uint8), axis=2)
+    last = dim - PACKED * (words.shape[1] - 1)
+    return np.concatenate([*(bits[:, i, 64 - PACKED :] for i in range(words.shape[1] - 1)), bits[:, -1, 64 - last :]], axis=1)
+
+
 class MultiIndex:
     def __init__(self, bits: np.ndarray, count: np.ndarray):
         """``bits``: distinct codes; ``count``: how many results each may give."""
@@ -135,19 +146,21 @@ def hamming_top(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     """The k rows at the smallest Hamming distance of sign codes (bit i: component i is positive) for each row whose id is divisible by ``every``.
 
     Returns ``(query_id, rank, vec_id, distance)``; ties go to the smaller id. Rows with a null id or without a sound vector take no
-    part; codes of another length are no candidates; repeated rows count once; a query with fewer candidates gets all; an
+    part; codes of another length are no candidates; repeated rows count once, different codes under one id each count; a query with fewer candidates gets all; an
     empty table gives no rows.
     """
-    rows = finite_vectors(df, id_col, vec_col).select("id", F.transform("vec", lambda x: (x > 0).cast("byte")).alias("bits"), "dim")
-    rows = cut(rows.dropDuplicates(["id", "bits"]))
-    queries = rows.filter(F.col("id") % every == 0)
-    r, q = dealt(rows, queries, rows.count(), queries.count(), row_block, query_block)
+    # 63 signs a word, the first component highest
+    bit = lambda word, x: F.shiftleft(word, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    words = F.transform(F.sequence(F.lit(0), F.floor((F.size("vec") - 1) / PACKED).cast("int")), lambda i: F.aggregate(F.slice("vec", i * PACKED + 1, PACKED), F.lit(0).cast("long"), bit))
+    rows = finite_vectors(df, id_col, vec_col).select("id", words.alias("code"), "dim")
+    rows = cut(rows.dropDuplicates(["id", "code", "dim"]))
+    r, q = dealt(rows, lambda dim: dim, every, row_block, query_block)
 
     def tile(left, right):
         out = []
         if left.num_rows and right.num_rows:
             dim = left.column("dim")[0].as_py()
-            sides = [(t.column("id").to_numpy(), _matrix(t.column("bits"), dim).astype(np.uint8)) for t in (right, left)]
+            sides = [(t.column("id").to_numpy(), unpacked(t.column("code"), dim)) for t in (right, left)]
             out = tile_top(*sides[0], *sides[1], k)
         a, b, d = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "distance": pa.array(d, pa.int32())})

@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from strandloom.llm.common import others
+
 WINDOW = 3
 
 
@@ -69,7 +71,7 @@ def repeated_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated windows cut out of its text, plus ``n_lines`` and ``n_removed``.
 
-    A document's own columns of these two names are replaced.
+    A document's own columns of these two names, in any case, are replaced.
     """
     rep = repeated_positions(docs, id_col, text_col).select(F.col("__ld_id").alias("__ld_rid"), F.col("__ld_a").alias("__ld_ra"), F.col("__ld_b").alias("__ld_rb"), "__ld_starts")
     keyed = _keyed(docs, id_col, text_col)
@@ -80,9 +82,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = joined.withColumn("__ld_keep", F.when(F.col("__ld_starts").isNotNull(), kept))
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__ld_lines")).cast("long")
     text = F.when(F.col("__ld_keep").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("__ld_keep", lambda i: F.element_at("__ld_lines", i + 1)), "\n"))
-    out = {text_col: text, "n_lines": n, "n_removed": F.when(F.col("__ld_keep").isNull(), 0).otherwise(n - F.size("__ld_keep")).cast("long")}
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.withColumns(out).select(*(f"`{c}`" for c in keep), "n_lines", "n_removed")
+    out = {"n_lines": n, "n_removed": F.when(F.col("__ld_keep").isNull(), 0).otherwise(n - F.size("__ld_keep")).cast("long")}
+    keep = others(docs, "n_lines", "n_removed")
+    return joined.select(*(text.alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in keep), *(out[c].alias(c) for c in ("n_lines", "n_removed")))
 
 
 def op9_line_dedup(spark, sf_dir):

@@ -320,7 +320,8 @@ def near_groups(docs: DataFrame, id_col: str, text_col: str, width: int, per_tas
     one = found.filter("n > 0").groupBy("key", "fp", "n").agg(F.min(F.struct("id", "text_hash")).alias("m"))
     one = one.join(families, "fp", "left").select("key", "n", "m.id", "m.text_hash", F.coalesce("family", "fp").alias("family"))
     one = cut(one)
-    sized = one.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).filter("c > 1")
+    # cut, so that both sides of the join come straight from exchanges and a large family's rows can be split
+    sized = cut(one.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).filter("c > 1"))
     blocks = F.ceil(F.greatest(F.col("c") / block_texts, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     members = one.drop("n").join(sized.select("family", blocks), "family")
     roots = connected_components(verified_links(members, docs, id_col, text_col, width))

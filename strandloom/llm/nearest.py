@@ -26,13 +26,36 @@ def _matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
 
 
+def norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, without overflow below the largest double."""
+    top = np.abs(x).max(axis=1, initial=0.0)
+    top[top == 0] = 1.0
+    with np.errstate(over="ignore"):
+        return np.sqrt(((x / top[:, None]) ** 2).sum(axis=1)) * top
+
+
 def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, their scales, the norms of the rounded rows and of what rounding took away."""
-    scale = np.abs(x).max(axis=1) / 127
+    scale = np.abs(x).max(axis=1) / 127  # at most 1.5e306, so scaled rows never overflow
     scale[scale == 0] = np.finfo(np.float64).tiny  # a denormal maximum: all of the row is error
     whole = np.clip(np.rint(x / scale[:, None]), -127, 127)
     back = whole * scale[:, None]
-    return whole.astype(np.int8), scale, np.sqrt((back * back).sum(axis=1)), np.sqrt(((x - back) ** 2).sum(axis=1))
+    return whole.astype(np.int8), scale, norms(back), norms(x - back)
+
+
+def inner(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, added in order of components.
+
+    Where a product or a partial sum overflows, the sum is taken of rows scaled by powers of two; it is infinite only if the result is, and never NaN.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.cumsum(rows * query, axis=1)[:, -1]
+        bad = np.flatnonzero(~np.isfinite(out))
+        if len(bad):
+            up, own = np.frexp(np.abs(rows[bad]).max(axis=1))[1], int(np.frexp(np.abs(query).max())[1])
+            scaled = np.cumsum(np.ldexp(rows[bad], -up[:, None]) * np.ldexp(query, -own), axis=1)[:, -1]
+            out[bad] = np.ldexp(scaled, up + own)
+    return out
 
 
 def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, rows: int = 4096, queries: int = 256) -> list[list[tuple[float, int]]]:
@@ -42,27 +65,31 @@ def tile_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
     heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
     c8, c_scale, c_norm, c_lost = rounded(c)
     q8, q_scale, _, q_lost = rounded(q)
-    q_norm = np.sqrt((q * q).sum(axis=1))
+    q_norm = norms(q)
     floor = np.full(len(qid), -np.inf)
     for at in range(0, len(cid), rows):
         cs = slice(at, at + rows)
         block = c8[cs].astype(kind).T
         for to in range(0, len(qid), queries):
             qs = slice(to, to + queries)
-            near = (q8[qs].astype(kind) @ block).astype(np.float64) * q_scale[qs, None] * c_scale[None, cs]
-            off = q_norm[qs, None] * c_lost[None, cs] + q_lost[qs, None] * c_norm[None, cs]
-            off = off * (1 + 1e-9) + 1e-12 * (1 + q_norm[qs, None] * c_norm[None, cs])
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = (q8[qs].astype(kind) @ block).astype(np.float64) * q_scale[qs, None] * c_scale[None, cs]
+                off = q_norm[qs, None] * c_lost[None, cs] + q_lost[qs, None] * c_norm[None, cs]
+                off = off * (1 + 1e-9) + 1e-12 * (1 + q_norm[qs, None] * c_norm[None, cs])
+                low, high = near - off, near + off
+            # a bound that overflowed says nothing
+            low[~np.isfinite(low)], high[~np.isfinite(high)] = -np.inf, np.inf
             own = qid[qs, None] == cid[None, cs]
-            low = np.where(own, -np.inf, near - off)
+            low[own] = -np.inf
             n = low.shape[1]
             kth = np.partition(low, n - k, axis=1)[:, n - k] if n >= k else np.full(low.shape[0], -np.inf)
             kth = np.maximum(kth, floor[qs])
-            alive = (near + off >= kth[:, None]) & ~own
+            alive = (high >= kth[:, None]) & ~own
             for i in range(alive.shape[0]):
                 hit = np.flatnonzero(alive[i])
                 if not len(hit):
                     continue
-                score = np.cumsum(c[at + hit] * q[to + i], axis=1)[:, -1]
+                score = inner(c[at + hit], q[to + i])
                 if len(hit) > k:  # only those that reach the k-th score, ties by id
                     reach = score >= np.partition(score, len(score) - k)[len(score) - k]
                     hit, score = hit[reach], score[reach]
@@ -79,12 +106,11 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     """The k rows of largest inner product for each row whose id is divisible by ``every``: ``(query_id, rank, vec_id, score)``.
 
     Defined results: rows without a sound vector (see ``finite_vectors``) or with a null id take no part; vectors of another
-    dimension than the query's are no candidates; repeated rows count once; ties go to the smaller id; a
+    dimension than the query's are no candidates; repeated rows count once, different vectors under one id each count; ties go to the smaller id; a
     query with fewer candidates gets all; a lone query gets none; an empty table gives no rows.
     """
     rows = cut(finite_vectors(df, id_col, vec_col))
-    queries = rows.filter(F.col("id") % every == 0)
-    r, q = dealt(rows, queries, rows.count(), queries.count(), row_block, query_block)
+    r, q = dealt(rows, lambda dim: 8 * dim, every, row_block, query_block)
 
     def tile(left, right):
         dim = left.column("dim")[0].as_py() if left.num_rows else 0

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandloom.llm.common import slices, table
+from strandloom.llm.common import others, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A segment has at most so many tokens, and without letters so many groups of digits.
@@ -338,9 +338,9 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 def personal_data(docs: DataFrame, text_col: str = "text", out_col: str = "pii", crf: Field | None = None) -> DataFrame:
     """``docs`` with ``out_col``: spans (kind, start, end, base) in code points, ends exclusive, by kind as in ``KINDS``, then start.
 
-    A null or empty text has no spans; a column named ``out_col`` is replaced; repeated rows have equal spans.
+    A null or empty text has no spans; a column named ``out_col``, in any case, is replaced; repeated rows have equal spans.
     """
-    keep = [c for c in docs.columns if c != out_col]
+    keep = others(docs, out_col)
     at, crf = keep.index(text_col), crf or field()
 
     def run(batches):

@@ -134,15 +134,103 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(docs.limit(0), odd).count() == 0
 
 
-def test_label_model_discounts_copies_of_a_voter():
-    r = np.random.default_rng(0)
-    y = (r.random(4000) < 0.3).astype(float)
-    lone = (r.random(4000) < np.where(y == 1, 0.6, 0.02)).astype(float)
-    weak = (r.random(4000) < np.where(y == 1, 0.4, 0.2)).astype(float)
-    given = np.where(r.random(4000) < 0.05, 1 - y, y)
-    model = toxicity.LabelModel(np.column_stack([lone, weak, weak, weak, weak]), given)
-    assert model.weight[0] > 1.5 * model.weight[1:5].max() and model.weight[1:5].sum() < 2  # four copies count for less than two voters
-    assert ((model.posterior > 0.5) == (y == 1)).mean() > 0.93
+def planted_votes(n=4_000, seed=0):
+    """Votes of a lone good voter, four near copies of a weak one, and one for the other class; a fifth of the documents have labels, a tenth of them wrong."""
+    r = np.random.default_rng(seed)
+    y = r.random(n) < 0.3
+    fires = lambda p, q: r.random(n) < np.where(y, p, q)
+    weak = fires(0.4, 0.2)
+    copies = [weak ^ (r.random(n) < 0.02) for _ in range(4)]
+    x = np.column_stack([fires(0.8, 0.01), fires(0.7, 0.02), *copies, fires(0.05, 0.7)]).astype(float)
+    given = np.where(r.random(n) < 0.2, np.where(r.random(n) < 0.1, ~y, y).astype(int), -1)
+    return y, x, given
+
+
+def fitted(x, given):
+    start = np.stack([(x[given == c].sum(axis=0) + 0.5) / ((given == c).sum() + 1) for c in (0, 1)])
+    model = toxicity.LabelModel(float((given == 1).sum() / (given >= 0).sum()), start)
+    return toxicity.fit_labels(model, lambda m, pairs: m.sums(x, given, np.ones(len(x)), pairs))
+
+
+def test_label_model_corrects_labels_and_joins_copies():
+    y, x, given = planted_votes()
+    model = fitted(x, given)
+    post = model.posterior(x, given)
+    wrong = (given >= 0) & (given != y)
+    assert wrong.sum() > 50 and ((post > 0.5) == y)[wrong].mean() > 0.55  # most planted label errors are outvoted
+    assert ((post > 0.5) == y).mean() > 0.95 and ((post > 0.5) == y)[given < 0].mean() > 0.95
+    assert model.given[0, 0] == pytest.approx(0.9, abs=0.05) and model.given[1, 1] == pytest.approx(0.9, abs=0.05)
+    copies = {2, 3, 4, 5}  # one of the four has its parent elsewhere, if anywhere
+    assert sum(int(model.parent[v]) in copies for v in copies) == 3
+    # once one copy fired, another adds little: the tree holds their common part
+    one, four = np.zeros((1, x.shape[1])), np.zeros((1, x.shape[1]))
+    one[0, 2], four[0, 2:6] = 1, 1
+    told = lambda v: float(np.subtract(*model.likelihood(v, np.array([-1]))[0][::-1]))
+    base = told(np.zeros((1, x.shape[1])))
+    assert told(four) - base < 2.5 * max(0.3, abs(np.log(0.4 / 0.2)) + abs(np.log(0.8 / 0.6)))
+
+
+def test_label_model_sums_match_a_loop():
+    _, x, given = planted_votes(60, seed=3)
+    model = fitted(x, given)
+    got = model.sums(x, given, np.arange(60.0), True)
+    want = {k: np.zeros_like(v) for k, v in got.items()}
+    for row, g, n in zip(x, given, range(60), strict=True):
+        joint = []
+        for y in (0, 1):
+            p = model.prior if y else 1 - model.prior
+            for v, vote in enumerate(row):
+                fired = model.parent[v] >= 0 and row[model.parent[v]] == 1
+                rate = model.rate[y, int(fired), v]
+                p *= rate if vote else 1 - rate
+            joint.append(p * (model.given[y, g] if g >= 0 else 1))
+        for y in (0, 1):
+            w = n * joint[y] / sum(joint)
+            want["all"][y] += w
+            want["votes"][y] += w * row
+            want["with"][y] += w * row * np.where(model.parent >= 0, row[model.parent], 0)
+            want["pairs"][y] += w * np.outer(row, row)
+            if g >= 0:
+                want["given"][y, g] += w
+    for k in want:
+        assert got[k] == pytest.approx(want[k]), k
+
+
+def test_distributed_sums_are_the_sums(spark):
+    _, x, given = planted_votes(300, seed=5)
+    model = fitted(x, given)
+    rows = [([int(v) for v in np.flatnonzero(r)], int(g), 2) for r, g in zip(x, given, strict=True)]
+    patterns = spark.createDataFrame(rows, "on array<int>, g int, n long").repartition(3)
+    got, want = toxicity.distributed_sums(patterns, x.shape[1])(model, True), model.sums(x, given, np.full(300, 2.0), True)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_added_columns_replace_others_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "call +1 (743) 555-3824", "old", "x", 1.0)], "doc_id long, text string, PII string, Score string, Rate double")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [s.kind for s in pii.personal_data(docs).select("pii").first().pii] == ["phone"]
+    assert isinstance(toxicity.toxicity(docs, none).select("score").first().score, float)
+    assert mixing.mix(docs, none).select("rate").first().rate == 1.0
+    odd = spark.createDataFrame([(1, 2.0, "a", "b"), (2, None, "c", "d")], "doc_id long, rate double, __n string, __copy string")
+    assert [tuple(r) for r in mixing.repeated(odd).collect()] == [(1, 2.0, "a", "b")] * 2
+
+
+def test_unmet_targets_are_told(spark):
+    rows = [(10, [0.9, 0.1]), (10, [0.8, 0.2])]
+    members = spark.createDataFrame(rows, "tokens long, posterior array<double>")
+    with pytest.warns(RuntimeWarning, match="miss their targets"):
+        mixing.fit_rates(members, (0.01, 0.99), rounds=4)
+
+
+def test_domain_classifier_finds_a_small_domain(spark):
+    docs, labels, bad = corpus(800, seed=11)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    seen = [x for x in labels if x[0] % 2]
+    classifier = mixing.train(d, spark.createDataFrame(seen, "doc_id long, quality int, toxic int"))
+    p = classifier.posteriors([t for _, t, _, _ in docs])
+    held = [i for i in range(len(docs)) if i % 2 == 0]
+    told = {i for i in held if p[i].argmax() == 0}
+    assert len(told & bad) >= 0.8 * sum(i in bad for i in held) and len(told - bad) <= 0.05 * len(held)
 
 
 def pages(r, n):

@@ -1,9 +1,11 @@
 import random
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
-from strandloom.llm import hamming, nearest
+from strandloom.llm import hamming, nearest, tiles
 
 
 def table(spark, rows):
@@ -77,3 +79,33 @@ def test_index_stops_at_the_proof():
         reach = np.sort(all_)[9]
         assert sorted(entry.tolist()) == np.flatnonzero(all_ <= reach).tolist()
         assert (all_[entry] == far).all()
+
+
+def test_neighbours_of_huge_vectors():
+    r = np.random.default_rng(4)
+    c = np.vstack([r.normal(size=(30, 3)), [[1e200, 1e200, 0.0], [1e300, -1e300, 1e300], [-1e308, 1e308, 0.0]]])
+    q = np.array([[1.0, 0, 0], [1e200, 1e-200, 0], [1e308, 1e308, 1e308]])
+    got = nearest.tile_top(np.array([100, 101, 102]), q, np.arange(33), c, 5)
+    exact = lambda a, b: sum(Fraction(float(x)) * Fraction(float(y)) for x, y in zip(a, b, strict=True))
+    for row, found in zip(q, got, strict=True):
+        best = sorted(range(33), key=lambda i: (-exact(c[i], row), i))[:5]
+        assert len(found) == 5 and {i for _, i in found} == set(best)
+        assert not any(np.isnan(s) for s, _ in found)
+    assert got[0][0] == (-1e300, 31) and got[0][1] == (-1e200, 30)
+
+
+def test_blocks_are_bounded_in_bytes(spark):
+    assert tiles.block_rows(10**9, 64, 1 << 13, 8 * 768, tiles.ROW_BYTES) * 8 * 768 <= tiles.ROW_BYTES
+    assert tiles.block_rows(100, 64, 1 << 13, 512, tiles.ROW_BYTES) == 1 << 13
+    r = np.random.default_rng(5)
+    v = r.normal(size=(60, 768)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    whole = v.astype(float)
+    for x in nearest.nearest(df, k=3).filter("rank = 1").collect():
+        scores = whole @ whole[x.query_id]
+        scores[x.query_id] = -np.inf
+        assert x.vec_id == scores.argmax()
+    for x in hamming.hamming_top(df, k=3).filter("rank = 1").collect():
+        far = ((v > 0) != (v[x.query_id] > 0)).sum(axis=1)
+        far[x.query_id] = 10_000
+        assert (x.vec_id, x.distance) == (far.argmin(), far.min())
