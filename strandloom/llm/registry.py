@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from strandloom.llm import bpe, hamming, langid, line_dedup, mixing, nearest, pii, simhash, token_files, toxicity
 
 QUERIES = {
@@ -16,6 +15,5 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op2_hamming": hamming.ORACLE, "op7_nearest": nearest.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

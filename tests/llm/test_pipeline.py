@@ -59,3 +59,28 @@ def test_run_and_registration(spark, tables):
     assert entry.queries()["pipeline"].__wrapped__ is corpus_pipeline.run and corpus_pipeline.ORACLE_SQL is None
     assert [n for n in range(1, 11) if not any(re.match(rf"op{n}_", q) for q in entry.queries())] == []
     assert corpus_pipeline.run(spark, tables[0]).count() > 150
+
+
+def test_stages_of_odd_tables(spark, tables, tmp_path):
+    sf_dir, _ = tables
+    labels = str(tmp_path)
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{labels}/labels.parquet")
+    kind = "doc_id long, text string, lang string, source string, n_lines int, score double, RATE int, __h string, __copy int, row string"
+    rows = [(5001, None, None, None, 1, 0.1, 2, "a", 3, "r"), (5001, None, None, None, 1, 0.1, 2, "a", 3, "r"), (None, "one two", "en", None, None, None, None, None, None, None),
+            (5002, "", "en", "s", 7, 0.9, 9, "b", 4, "q"), (5003, "long " * 60_000, "en", "s", 7, 0.9, 9, "b", 4, "q"), (5003, "long " * 60_000, "en", "s", 7, 0.9, 9, "b", 4, "q")]
+    # none of the ids has a label
+    for found in (rows, []):
+        docs = spark.createDataFrame(found, kind)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, labels)
+            got = out.collect()
+            if name == "bpe":
+                assert len(got) == len(found) and all(r.n_tokens == len(r.ids) for r in got)
+            else:
+                assert out.columns == docs.columns
+            if name in ("toxicity", "line_dedup"):
+                assert sorted(map(str, got)) == sorted(map(str, docs.collect()))
+            if name == "near_dedup" and found:
+                assert {(r.doc_id, r["row"]) for r in got} == {(5001, "r"), (None, None), (5003, "q")} and len(got) == 3
+            if name == "mixing":
+                assert {r.doc_id for r in got} == {r[0] for r in found} and len(got) >= len(found)
