@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import sys
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +14,7 @@ from strandloom.functions.bases import parse_number
 from strandloom.operators import compare, lookup, quality, regions, sexchr, table as tables, trio
 from strandloom.operators.options import CountOptions, PartitionOptions, QualityOptions, RegionOptions, TrioOptions
 from strandloom.sources import reports
-from strandloom.sources.sequences import read_fastx, read_report
+from strandloom.sources.sequences import read_fastx, read_report, records
 
 
 def parser() -> argparse.ArgumentParser:
@@ -76,10 +78,18 @@ def parser() -> argparse.ArgumentParser:
 
 def k_of(spark, *paths: str) -> int:
     """The k that all tables have."""
-    found = {r.k for p in paths for r in spark.read.parquet(p).select("k").limit(1).collect()}
-    if len(found) > 1:
-        raise ValueError(f"tables of different k: {sorted(found)}")
-    return found.pop() if found else 31
+    k = tables.same_k(*(tables.load_parquet(spark, p) for p in paths))
+    if k is None:
+        raise ValueError(f"{', '.join(paths)}: no table says its k")
+    return k
+
+
+def sequences(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a file or folder, or of standard input if the path is ``-``; those are parsed by the driver and should be few."""
+    if path != "-":
+        return read_fastx(spark, path)
+    rows = [(n, s, q, len(s), i) for i, (n, s, q) in enumerate(records(sys.stdin))]
+    return spark.createDataFrame(rows, "name string, seq string, qual string, len int, seq_id long")
 
 
 def run(args, spark: SparkSession) -> list[DataFrame]:
@@ -89,15 +99,17 @@ def run(args, spark: SparkSession) -> list[DataFrame]:
     match args.command:
         case "count":
             opt = CountOptions(args.k, 2 if args.min2 else 1)
-            first = read_fastx(spark, args.inputs[0])
+            first = sequences(spark, args.inputs[0])
             two = args.min2 and len(args.inputs) > 1
-            tables.save_parquet(tables.count_two(first, read_fastx(spark, args.inputs[1]), opt.k) if two else tables.count(first, opt.k, opt.min_count), args.out, opt.k)
+            if len(args.inputs) > 1 and not two:
+                warnings.warn("without -b only the first input is counted", stacklevel=2)
+            tables.save_parquet(tables.count_two(first, sequences(spark, args.inputs[1]), opt.k) if two else tables.count(first, opt.k, opt.min_count), args.out, opt.k)
         case "recount":
             k = k_of(spark, args.table)
-            tables.save_parquet(tables.recount(load(args.table), read_fastx(spark, args.input), k), args.out, k)
+            tables.save_parquet(tables.recount(load(args.table), sequences(spark, args.input), k), args.out, k)
         case "cntasm":
-            every = reduce(DataFrame.unionAll, [read_fastx(spark, p).withColumn("sample", F.lit(i)) for i, p in enumerate(args.inputs)])
-            seed = load(args.seed) if args.seed and k_of(spark, args.seed) == args.k else None
+            every = reduce(DataFrame.unionAll, [sequences(spark, p).withColumn("sample", F.lit(i)) for i, p in enumerate(args.inputs)])
+            seed = load(args.seed) if args.seed else None
             tables.save_parquet(tables.collate(every, args.k, args.low, args.high, args.max_out, seed, n_samples=len(args.inputs)), args.out, args.k)
         case "subtract":
             tables.save_parquet(tables.subtract(load(args.left), load(args.right)), args.out, k_of(spark, args.left, args.right))
@@ -106,17 +118,20 @@ def run(args, spark: SparkSession) -> list[DataFrame]:
         case "print":
             return [line(tables.listing(load(args.table), args.counts))]
         case "qv":
-            k, opt, table, seqs = k_of(spark, args.table), QualityOptions(args.min_len, args.min_frac, args.fpr), load(args.table), read_fastx(spark, args.input)
+            k, opt, table, seqs = k_of(spark, args.table), QualityOptions(args.min_len, args.min_frac, args.fpr), load(args.table), sequences(spark, args.input)
             spec = quality.spectrum(seqs, table, k, opt).withColumn("grp", F.lit(1))
             got = quality.solve_groups(spec, k, opt.fpr).withColumns({"fl": F.format_string("%.3g", "fpr_lower"), "fu": F.format_string("%.3g", "fpr_upper")})
             bins = spec.join(got.select("grp", F.posexplode("adj").alias("c", "adj")), ["grp", "c"]).orderBy(F.desc("c"))
-            out = [line(quality.absent_kmers(seqs, table, k, opt), "EK", ["name", "start"])] if args.absent else []
+            told = ["CT\tcount, k-mers of the table, k-mers of the sequences, the same adjusted", "FR\tfalse positive rate, lower and upper bound"]
+            told += ["ER\tk-mers of the sequences, those in error", "CV\tcoverage", "QV\tquality of all k-mers, the same adjusted"]
+            out = [spark.createDataFrame([(f"CC\t{x}",) for x in told], "value string").coalesce(1)]
+            out += [line(quality.absent_kmers(seqs, table, k, opt), "EK", ["name", "start"])] if args.absent else []
             out += [line(quality.per_sequence(seqs, table, k, opt), "SQ", ["name", "len", "tot", "non0", "qv"])] if args.each else []
             three = {"qv_raw": "%.3f", "qv": "%.3f"}
             return [*out, line(bins, "CT", ["c", "hist", "cnt", "adj"]), line(got, "FR", ["fl", "fu"]), line(got, "ER", ["tot", "err"]), line(got, "CV", ["cov"]), line(got, "QV", ["qv_raw", "qv"], three)]
         case "triobin" | "trioeval":
             k, names = k_of(spark, args.pat, args.mat), {n: v for n, v in vars(args).items() if n in ("min_count", "mid_count", "ratio", "min_streak")}
-            opt, seqs = TrioOptions(**names), read_fastx(spark, args.input)
+            opt, seqs = TrioOptions(**names), sequences(spark, args.input)
             flags = lookup.trio_flags(load(args.pat), load(args.mat), opt)
             if args.command == "triobin":
                 out = [line(trio.differences(seqs, flags, k), "D", ["name", "pos", "pat", "mat"])] if args.diff else []
@@ -135,10 +150,10 @@ def run(args, spark: SparkSession) -> list[DataFrame]:
             return [line(sn.orderBy(F.desc("c")), "SN"), line(qv, "QV", formats={"qv_raw": "%.3f", "qv": "%.3f"})]
         case "chkerr":
             opt = RegionOptions(args.min_count, args.min_streak)
-            return [line(regions.low_support(read_fastx(spark, args.input), load(args.table), k_of(spark, args.table), opt), None, ["name", "start", "end", "streak"])]
+            return [line(regions.low_support(sequences(spark, args.input), load(args.table), k_of(spark, args.table), opt), None, ["name", "start", "end", "streak"])]
         case "sexchr":
             three = (args.first, args.second, args.shared)
-            both = read_fastx(spark, args.hap1).withColumn("hap", F.lit(1)).unionAll(read_fastx(spark, args.hap2).withColumn("hap", F.lit(2)))
+            both = sequences(spark, args.hap1).withColumn("hap", F.lit(1)).unionAll(sequences(spark, args.hap2).withColumn("hap", F.lit(2)))
             both = both.withColumn("seq_id", F.struct("hap", "seq_id"))
             rows = sexchr.sex_counts(both, lookup.set_flags(*map(load, three)), k_of(spark, *three)).withColumn("part", F.lit(0))
             return [line(rows, "S", ["name", "hap", "part", "nk", "ns", "n1", "n2"])]

@@ -1,5 +1,8 @@
 """K-mer tables ``(kmer, cnt)``: counting, set algebra, histograms, storage.
 
+A table's k stands in the metadata of its ``kmer`` column, which Parquet files and derived tables keep, rows or not;
+operators on several tables refuse tables of different k.
+
 Every combination of tables is an equi-join or a group-by on ``kmer``; tables saved with ``save`` are bucketed by it, so these
 need no exchange between saved tables of equal bucket number.
 """
@@ -14,10 +17,27 @@ from strandloom.functions.bases import MAX_COUNT, saturated
 from strandloom.operators.kmers import explode_kmers
 
 
+def told_k(table: DataFrame) -> int | None:
+    """The k of a table, None if it doesn't say."""
+    return table.schema["kmer"].metadata.get("k")
+
+
+def with_k(table: DataFrame, k: int | None) -> DataFrame:
+    return table if k is None else table.withMetadata("kmer", {"k": k})
+
+
+def same_k(*tables: DataFrame, k: int | None = None) -> int | None:
+    """The one k that the tables, and the caller, tell of; another one is an error."""
+    found = {t for t in (k, *map(told_k, tables)) if t is not None}
+    if len(found) > 1:
+        raise ValueError(f"tables of different k: {sorted(found)}")
+    return found.pop() if found else None
+
+
 def count(seqs: DataFrame, k: int, min_count: int = 1) -> DataFrame:
     """Saturating counts of canonical k-mers seen ``min_count`` times or more."""
     n = explode_kmers(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    return n.filter(F.col("n") >= min_count).select("kmer", saturated("n").alias("cnt"))
+    return with_k(n.filter(F.col("n") >= min_count).select("kmer", saturated("n").alias("cnt")), k)
 
 
 def count_two(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
@@ -27,7 +47,8 @@ def count_two(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
 
 def recount(table: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
     """The table's k-mers with their counts in ``seqs``; unseen ones stay with 0."""
-    return table.select("kmer").join(count(seqs, k), "kmer", "left").select("kmer", F.coalesce("cnt", F.lit(0)).alias("cnt"))
+    k = same_k(table, k=k)
+    return with_k(table.select("kmer").join(count(seqs, k), "kmer", "left").select("kmer", F.coalesce("cnt", F.lit(0)).alias("cnt")), k)
 
 
 def shrink(table: DataFrame, low: int, high: int = MAX_COUNT) -> DataFrame:
@@ -46,7 +67,8 @@ def clear(table: DataFrame) -> DataFrame:
 
 def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left rows whose k-mer is not in ``right``."""
-    return left.join(right.select("kmer"), "kmer", "left_anti")
+    k = same_k(left, right)
+    return with_k(left.join(right.select("kmer"), "kmer", "left_anti"), k)
 
 
 def intersect(left: DataFrame, *others: DataFrame) -> DataFrame:
@@ -54,16 +76,18 @@ def intersect(left: DataFrame, *others: DataFrame) -> DataFrame:
 
     The others are one union and one group-by, so n tables take one join.
     """
+    k = same_k(left, *others)
     if len(others) == 1:
-        return left.join(others[0].select("kmer"), "kmer", "left_semi")
+        return with_k(left.join(others[0].select("kmer"), "kmer", "left_semi"), k)
     every = reduce(DataFrame.unionAll, [o.select("kmer").distinct() for o in others]).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    return left.join(every.filter(F.col("n") == len(others)), "kmer", "left_semi")
+    return with_k(left.join(every.filter(F.col("n") == len(others)), "kmer", "left_semi"), k)
 
 
 def merge(left: DataFrame, right: DataFrame, low: int = 1, high: int = MAX_COUNT) -> DataFrame:
     """Left counts plus one for each right row with a count in [low, high]; such rows not in left enter with 1."""
+    k = same_k(left, right)
     added = set_count(shrink(right, low, high), 1)
-    return left.unionAll(added).groupBy("kmer").agg(saturated(F.sum("cnt")).alias("cnt"))
+    return with_k(left.unionAll(added).groupBy("kmer").agg(saturated(F.sum("cnt")).alias("cnt")), k)
 
 
 def collate(samples: DataFrame, k: int, low: int = 1, high: int = 1, max_out: int = 0, seed: DataFrame | None = None, sample_col: str = "sample", n_samples: int | None = None) -> DataFrame:
@@ -72,12 +96,13 @@ def collate(samples: DataFrame, k: int, low: int = 1, high: int = 1, max_out: in
     One plan for all samples. A ``seed`` table's counts are added, but the threshold counts only the new samples.
     ``n_samples`` defaults to the number of distinct samples, those without k-mers included.
     """
+    same_k(*(t for t in [seed] if t is not None), k=k)
     n = n_samples if n_samples is not None else samples.select(sample_col).distinct().count()
     per = explode_kmers(samples, k, sample_col).groupBy(sample_col, "kmer").agg(saturated(F.count(F.lit(1))).alias("cnt"))
     rows = set_count(shrink(per, low, high), 1)
     rows = rows.unionAll(seed.select("kmer", "cnt")) if seed is not None else rows
     found = rows.groupBy("kmer").agg(saturated(F.sum("cnt")).alias("cnt"))
-    return found.filter(F.col("cnt") >= n - max_out)
+    return with_k(found.filter(F.col("cnt") >= n - max_out), k)
 
 
 def histogram(table: DataFrame) -> DataFrame:
@@ -107,14 +132,21 @@ def load(spark, name: str, k: int | None = None) -> DataFrame:
     found = int(told.get("strandloom.k", 0))
     if not 1 <= found < 64 or k not in (None, found):
         raise ValueError(f"{name} holds k = {found}")
-    return spark.table(name)
+    return with_k(spark.table(name), found)
 
 
 def save_parquet(table: DataFrame, path: str, k: int) -> None:
-    """A folder of Parquet files by k-mer range of hash, with k in every row group's column statistics."""
-    table.withColumn("k", F.lit(k)).write.mode("overwrite").parquet(path)
+    """A folder of Parquet files, one for each partition of the table; k is a column, and metadata of the ``kmer`` column, which an empty table has too."""
+    with_k(table, same_k(table, k=k)).withColumn("k", F.lit(k)).write.mode("overwrite").parquet(path)
 
 
 def load_parquet(spark, path: str, k: int | None = None) -> DataFrame:
+    """A saved folder; ``k``, if given, must be the table's. A folder without metadata tells its k by its rows."""
     got = spark.read.parquet(path)
-    return got.filter(F.col("k") == k).drop("k") if k else got.drop("k")
+    if told_k(got) is None and "k" in got.columns:
+        rows = got.select("k").distinct().limit(2).collect()
+        if len(rows) > 1:
+            raise ValueError(f"{path} mixes tables of different k")
+        got = with_k(got, rows[0].k if rows else None)
+    same_k(got, k=k)
+    return got.drop("k")

@@ -59,15 +59,62 @@ def records(lines, strict: bool = True):
     yield header, "".join(seq), "".join(qual) if qual is not None else None
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
+#: Name endings of files that hold FASTA records only, and bytes of a split.
+FASTA, SPLIT = (".fa", ".fasta", ".fna", ".fas", ".ffn"), 64 << 20
+
+
+class _Split(InputPartition):
+    """The records of a file whose headers begin at ``start`` or later and before ``end`` (-1: all of the file)."""
+
+    def __init__(self, path: str, start: int, end: int, layout: str):
         super().__init__(path)
+        self.start, self.end, self.layout = start, end, layout
+
+
+def lines_of(f, start: int, end: int, layout: str):
+    """Text lines of the records that begin in a range of a plain file.
+
+    ``fasta``: a record begins at every line with ``>``; one with ``@`` or ``+`` raises. ``fastq4``: records are four lines, and a line with ``@``
+    begins one if a line with ``+`` is the second after it; a line of qualities never has one there.
+    """
+    f.seek(max(0, start - 1))
+    if start:
+        f.readline()  # the rest of a line that began before the range
+    held: list[tuple[int, bytes]] = []
+
+    def line(i: int) -> bytes:
+        while len(held) <= i:
+            at = f.tell()
+            held.append((at, f.readline()))
+        return held[i][1]
+
+    inside = False
+    while line(0):
+        first = held[0][1][:1]
+        if layout == "fasta":
+            begins = first == b">"
+            if first in (b"@", b"+"):
+                raise Malformed(f"a line that begins with {first.decode()!r} in a file read as FASTA; use the option layout = whole")
+        else:
+            begins = first == b"@" and line(2)[:1] == b"+"
+        if begins and held[0][0] >= end:
+            return
+        take = 4 if begins and layout == "fastq4" else 1
+        inside = inside or begins
+        for i in range(take):
+            text = line(i)
+            if inside and text:
+                yield text.decode("latin-1")
+        del held[:take]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.strict = str(options.get("strict", "true")).lower() == "true"
+        self.layout, self.split = options.get("layout", "auto"), int(options.get("splitBytes", SPLIT))
+        if self.layout not in ("auto", "whole", "fasta", "fastq4"):
+            raise ValueError(f"layout {self.layout!r} is none of auto, whole, fasta, fastq4")
         if not self.paths:
             raise ValueError("a path is needed")
 
@@ -80,9 +127,21 @@ class _Reader(DataSourceReader):
             info = system.get_file_info(path)
             found = system.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
             prefix = p.split("://")[0] + "://" if "://" in p else ""
-            out += [_File(prefix + f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+            for f in sorted(found, key=lambda f: f.path):
+                if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")):
+                    out += self._splits(system, prefix + f.path, f)
         return out
 
+    def _splits(self, system, uri: str, info) -> list[_Split]:
+        layout = self.layout
+        if layout == "auto":
+            layout = "fasta" if info.base_name.lower().endswith(FASTA) else "whole"
+        if layout != "whole" and info.size > self.split:
+            with system.open_input_file(info.path) as f:
+                if f.read(2) != b"\x1f\x8b":  # gzip can't be entered in the middle
+                    return [_Split(uri, at, at + self.split, layout) for at in range(0, info.size, self.split)]
+        return [_Split(uri, 0, -1, "whole")]
+
     def read(self, partition):
         import gzip
         import io
@@ -91,15 +150,21 @@ class _Reader(DataSourceReader):
 
         system, path = fs.FileSystem.from_uri(partition.value)
         with system.open_input_file(path) as f:
-            zipped = f.read(2) == b"\x1f\x8b"
-            f.seek(0)
-            raw = gzip.GzipFile(fileobj=f) if zipped else f
-            for name, seq, qual in records(io.TextIOWrapper(raw, encoding="latin-1", newline="\n"), self.strict):
-                yield name, seq, qual, len(seq)
+            if partition.end >= 0:
+                lines = lines_of(io.BufferedReader(f, 1 << 20), partition.start, partition.end, partition.layout)
+            else:
+                zipped = f.read(2) == b"\x1f\x8b"
+                f.seek(0)
+                lines = io.TextIOWrapper(gzip.GzipFile(fileobj=f) if zipped else f, encoding="latin-1", newline="\n")
+            yield from batches(records(lines, self.strict))
 
 
 class FastxSource(DataSource):
-    """``spark.read.format("fastx")``: one task a file, plain or gzip by content; option ``strict`` (true)."""
+    """``spark.read.format("fastx")``: plain or gzip files by content; options ``strict`` (true), ``layout`` and ``splitBytes``.
+
+    Layout ``fasta`` and ``fastq4`` (four lines a record) let several tasks read a plain file; ``whole`` takes any mix of records, one task a
+    file; ``auto`` is ``fasta`` for files with such a name and ``whole`` for others. Gzip files are one task each.
+    """
 
     @classmethod
     def name(cls):
@@ -112,10 +177,29 @@ class FastxSource(DataSource):
         return _Reader(self.options)
 
 
-def read_fastx(spark, *paths: str, strict: bool = True) -> DataFrame:
+def batches(found, size: int = 4 << 20):
+    """Records as Arrow batches of about ``size`` bases; a record is never cut."""
+    import pyarrow as pa
+
+    def out():
+        names, seqs, quals = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(seqs, pa.string()), pa.array(quals, pa.string()), pa.array(list(map(len, seqs)), pa.int32())], ["name", "seq", "qual", "len"])
+
+    rows, held = [], 0
+    for r in found:
+        rows.append(r)
+        held += len(r[1])
+        if held >= size or len(rows) >= 10_000:
+            yield out()
+            rows, held = [], 0
+    if rows:
+        yield out()
+
+
+def read_fastx(spark, *paths: str, strict: bool = True, layout: str = "auto", split_bytes: int = SPLIT) -> DataFrame:
     """``(seq_id, name, seq, qual, len)``: ``seq_id`` tells records of equal names apart."""
     spark.dataSource.register(FastxSource)
-    got = spark.read.format("fastx").option("path", ",".join(paths)).option("strict", strict).load()
+    got = spark.read.format("fastx").option("path", ",".join(paths)).option("strict", strict).option("layout", layout).option("splitBytes", split_bytes).load()
     return got.withColumn("seq_id", F.monotonically_increasing_id())
 
 

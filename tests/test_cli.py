@@ -1,6 +1,9 @@
+import io
+
 import pytest
 
-from strandloom.__main__ import main
+from strandloom.__main__ import k_of, main
+from strandloom.operators import table as tables
 from tests.test_reports import MAT, PAT
 
 
@@ -38,7 +41,7 @@ def test_commands(spark, files):
     assert all(x.endswith(("\t6", "\t12")) for x in text(files / "out"))
     go("qv", "-p", "-E", p, r)
     kinds = {x.split("\t")[0] for x in text(files / "out")}
-    assert kinds == {"EK", "SQ", "CT", "FR", "ER", "CV", "QV"}
+    assert kinds == {"CC", "EK", "SQ", "CT", "FR", "ER", "CV", "QV"}
     go("chkerr", "-s", 3, p, r)
     assert text(files / "out")
     go("inspect", p)
@@ -61,3 +64,23 @@ def test_tables_of_different_k(spark, files):
 def test_version(capsys):
     main(["version"])
     assert capsys.readouterr().out.strip()
+
+
+def test_seed_of_another_k_and_tables_without_rows(spark, files):
+    with pytest.raises(ValueError):
+        main(["cntasm", "-k7", "-i", str(files / "pat"), "-o", str(files / "x"), str(files / "pat.fa")], spark)
+    main(["subtract", str(files / "pat"), str(files / "pat"), "-o", str(files / "none")], spark)
+    assert k_of(spark, str(files / "none")) == 5 and spark.read.parquet(str(files / "none")).count() == 0
+    with pytest.raises(ValueError):
+        tables.subtract(tables.load_parquet(spark, str(files / "none")), tables.with_k(spark.createDataFrame([("ACG", 1)], "kmer string, cnt int"), 3))
+    with pytest.warns(UserWarning, match="only the first"):
+        main(["count", "-k5", "-o", str(files / "x"), str(files / "pat.fa"), str(files / "mat.fa")], spark)
+
+
+def test_standard_input_and_headers(spark, files, monkeypatch):
+    monkeypatch.setattr("sys.stdin", io.StringIO((files / "pat.fa").read_text()))
+    main(["count", "-k5", "-o", str(files / "piped"), "-"], spark)
+    rows = lambda p: sorted(map(tuple, spark.read.parquet(str(p)).collect()))
+    assert rows(files / "piped") == rows(files / "pat")
+    main(["qv", str(files / "pat"), str(files / "reads.fa"), "-o", str(files / "report")], spark)
+    assert [x.split("\t")[1] for x in text(files / "report") if x.startswith("CC")] == ["CT", "CV", "ER", "FR", "QV"]

@@ -1,10 +1,12 @@
 import gzip
+import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.sources import reports
-from strandloom.sources.sequences import Malformed, read_fastx, read_report, records
+from strandloom.sources.sequences import Malformed, lines_of, read_fastx, read_report, records
 from strandloom.streaming import kmers as stream
 
 TEXT = "junk\n>r1 a comment\nACGT\nAC\r\n@r2\nGGTT\n+\nII@I\n>r3\n\n@r4\nAC\nGT\n+r4\nII\n>I\n"
@@ -50,3 +52,26 @@ def test_stream_counts(spark, tmp_path):
         assert spark.table("ka").filter(F.col("cnt") == 7).count() == 1
     finally:
         q.stop()
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 10_000])
+def test_splits_are_the_whole_file(spark, tmp_path, size):
+    r = random.Random(size)
+    fasta, fastq = "junk\n\n", ""
+    for i in range(60):
+        seq = "".join(r.choice("ACGT") for _ in range(r.randint(0, 30)))
+        fasta += f">f{i} {'x>y' * r.randint(0, 2)}\n" + "".join(seq[a : a + 9] + r.choice(("\n", "\r\n")) for a in range(0, len(seq), 9))
+        fastq += f"@q{i} c\n{seq}A\n+\n" + "".join(r.choice("@+>I") for _ in range(len(seq) + 1)) + "\n"
+    (tmp_path / "a.fa").write_bytes(fasta.encode())
+    (tmp_path / "b.fq").write_bytes(fastq.rstrip("\n").encode())
+    for name, text, layout in (("a.fa", fasta, "auto"), ("b.fq", fastq, "fastq4")):
+        raw, got = (tmp_path / name).read_bytes(), []
+        for at in range(0, len(raw), size):
+            got += records(lines_of(io.BytesIO(raw), at, at + size, "fasta" if layout == "auto" else layout))
+        assert got == list(records(io.StringIO(text, newline="\n")))
+    if size >= 40:
+        df = read_fastx(spark, str(tmp_path / "a.fa"), split_bytes=size)
+        assert df.rdd.getNumPartitions() == -(-len(fasta.encode()) // size)
+        assert sorted((x.name, x.seq) for x in df.collect()) == sorted((n, s) for n, s, _ in records(io.StringIO(fasta, newline="\n")))
+    with pytest.raises(Malformed):
+        list(lines_of(io.BytesIO(b">a\nAC\n@b\nGG\n"), 0, 100, "fasta"))
