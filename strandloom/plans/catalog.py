@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables.
 
-Sequences are the base letters of ``documents``; samples are sources. Table A holds sources 0 to 9 and B the others; the
-parents are English and French documents; the sex tables are three groups of sources, haplotypes the parity of the id.
+Sequences are the base letters of ``documents``; samples are sources. Table A holds sources below 10 and B all others; the
+parents are English and French documents; the sex tables are three parts of all sources, haplotypes the parity of the id.
 """
 
 from __future__ import annotations
@@ -29,20 +29,27 @@ def sequences(spark, sf_dir: str) -> DataFrame:
     return from_documents(documents(spark, sf_dir))
 
 
-def source_number():
-    return F.substring("sample", 4, 10).cast("int")
+def part(seqs: DataFrame, low: int, high: int | None = None) -> DataFrame:
+    """Sources from ``low`` on, up to ``high``; without it also those that have no number, so that parts add up to all."""
+    source = F.substring("sample", 4, 10).try_cast("int")
+    return seqs.filter(source.between(low, high)) if high is not None else seqs.filter(F.coalesce(source >= low, F.lit(True)))
 
 
-def part(seqs: DataFrame, low: int, high: int) -> DataFrame:
-    return seqs.filter(source_number().between(low, high))
+def _low(s: DataFrame) -> DataFrame:
+    return s.filter(F.substring("sample", 4, 10).try_cast("int") < 10)
 
 
 def _a(s: DataFrame, k: int = K) -> DataFrame:
-    return tables.count(part(s, 0, 9), k)
+    return tables.count(_low(s), k)
 
 
 def _b(s: DataFrame, k: int = K) -> DataFrame:
-    return tables.count(part(s, 10, 19), k)
+    return tables.count(part(s, 10), k)
+
+
+def _sex_tables(s: DataFrame) -> list[DataFrame]:
+    low = F.substring("sample", 4, 10).try_cast("int")
+    return [tables.count(x, SHORT) for x in (s.filter(low < 7), part(s, 7, 13), part(s, 14))]
 
 
 def _flags(s: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def _mutated(s: DataFrame) -> DataFrame:
 
 
 def _sex(s: DataFrame) -> DataFrame:
-    flags = lookup.set_flags(*(tables.count(part(s, a, b), SHORT) for a, b in ((0, 1), (2, 3), (4, 4))))
+    flags = lookup.set_flags(*_sex_tables(s))
     return sexchr.sex_counts(s.withColumn("hap", (F.col("seq_id") % 2 + 1).cast("int")), flags, SHORT)
 
 
@@ -85,6 +92,12 @@ def _solved(s: DataFrame) -> DataFrame:
     return _round(quality.solve_groups(spec, K).drop("adj"), qv_raw=3, qv=3, cov=3, err=3, fpr_lower=6, fpr_upper=6)
 
 
+def _solved_bins(s: DataFrame) -> DataFrame:
+    """The model over short k-mers of part B against part A."""
+    spec = quality.spectrum(part(s, 10), _a(s, SHORT), SHORT).withColumn("grp", F.lit(1))
+    return _round(quality.solve_groups(spec, SHORT), qv_raw=3, qv=3, cov=3, err=3).select("tot", "qv_raw", "qv", "cov", "err", "max_c", "min_c")
+
+
 def _over(f):
     return lambda spark, sf_dir: f(sequences(spark, sf_dir))
 
@@ -96,30 +109,31 @@ QUERIES = {
     "kmer_count": _over(lambda s: tables.count(s, K)),
     "kmer_count_k31": _over(lambda s: tables.count(s, 31)),
     "kmer_count_min2": _over(lambda s: tables.count(s, K, 2)),
-    "kmer_count_two_file": _over(lambda s: tables.count_two(part(s, 0, 9), part(s, 10, 19), K)),
+    "kmer_count_two_file": _over(lambda s: tables.count_two(_low(s), part(s, 10), K)),
     "kmer_distinct": _over(lambda s: tables.distinct_kmers(tables.count(s, K))),
     "kmer_hist": _over(lambda s: tables.histogram(tables.count(s, K))),
     "kmer_shrink": _over(lambda s: tables.shrink(tables.count(s, SHORT), 2, 10)),
     "kmer_shrink_open": _over(lambda s: tables.shrink(tables.count(s, SHORT), 50, 0)),
     "kmer_setcnt": _over(lambda s: tables.set_count(tables.count(s, SHORT), 7)),
     "kmer_clear": _over(lambda s: tables.clear(tables.count(s, SHORT))),
-    "kmer_recount": _over(lambda s: tables.recount(_a(s), part(s, 10, 19), K)),
-    "kmer_cntasm": _over(lambda s: tables.collate(s, SHORT, 1, 3, n_samples=20)),
-    "kmer_cntasm_maxout": _over(lambda s: tables.collate(s, SHORT, 1, 2, max_out=12, n_samples=20)),
-    "kmer_cntasm_seed": _over(lambda s: tables.collate(part(s, 10, 19), SHORT, 1, 2, max_out=4, seed=tables.set_count(tables.count(part(s, 0, 0), SHORT), 1), n_samples=10)),
+    "kmer_recount": _over(lambda s: tables.recount(_a(s), part(s, 10), K)),
+    "kmer_cntasm": _over(lambda s: tables.collate(s, 7, 1, 60)),
+    "kmer_cntasm_maxout": _over(lambda s: tables.collate(s, SHORT, 1, 2, max_out=12)),
+    "kmer_cntasm_seed": _over(lambda s: tables.collate(part(s, 10), SHORT, 1, 2, max_out=4, seed=tables.set_count(_a(s, SHORT), 1))),
     "kmer_merge": _over(lambda s: tables.merge(_a(s), _b(s), 1, 3)),
     "kmer_subtract": _over(lambda s: tables.subtract(_a(s), _b(s))),
     "kmer_isec2": _over(lambda s: tables.intersect(_a(s), _b(s))),
-    "kmer_isec3": _over(lambda s: tables.intersect(tables.count(part(s, 0, 6), SHORT), tables.count(part(s, 7, 12), SHORT), tables.count(part(s, 13, 19), SHORT))),
+    "kmer_isec3": _over(lambda s: tables.intersect(tables.count(part(s, 0, 6), SHORT), tables.count(part(s, 7, 12), SHORT), tables.count(part(s, 13), SHORT))),
     "kmer_print": _over(lambda s: tables.listing(tables.count(s, SHORT))),
     "kmer_codes": _over(lambda s: tables.count(s, SHORT).select("kmer", encode(F.col("kmer")).alias("code"), decode(encode(F.col("kmer")), SHORT).alias("decoded"))),
     "kmer_hash": _over(lambda s: tables.count(s, SHORT).select("kmer", hash_code(encode(F.col("kmer")), SHORT).alias("hash"))),
-    "qv_seq": _over(lambda s: _round(quality.per_sequence(part(s, 10, 19), _a(s), K), qv=2)),
-    "qv_seq_minlen": _over(lambda s: _round(quality.per_sequence(part(s, 10, 19), _a(s), K, QualityOptions(min_len=300)), qv=2)),
-    "qv_err_kmers": _over(lambda s: quality.absent_kmers(part(s, 10, 19), _a(s), K)),
-    "qv_spectrum": _over(lambda s: quality.spectrum(part(s, 10, 19), _a(s, SHORT), SHORT)),
-    "qv_raw": _over(lambda s: _round(quality.raw_summary(quality.spectrum(part(s, 10, 19), _a(s, SHORT), SHORT), SHORT), qv_raw=3)),
+    "qv_seq": _over(lambda s: _round(quality.per_sequence(part(s, 10), _a(s), K), qv=2)),
+    "qv_seq_minlen": _over(lambda s: _round(quality.per_sequence(part(s, 10), _a(s), K, QualityOptions(min_len=300)), qv=2)),
+    "qv_err_kmers": _over(lambda s: quality.absent_kmers(part(s, 10), _a(s), K)),
+    "qv_spectrum": _over(lambda s: quality.spectrum(part(s, 10), _a(s, SHORT), SHORT)),
+    "qv_raw": _over(lambda s: _round(quality.raw_summary(quality.spectrum(part(s, 10), _a(s, SHORT), SHORT), SHORT), qv_raw=3)),
     "qv_solve": _over(_solved),
+    "qv_solve_bins": _over(_solved_bins),
     "trio_flags": _over(_flags),
     "triobin": _over(lambda s: trio.binning(s, _flags(s), SHORT)),
     "triobin_diff": _over(lambda s: trio.differences(s, _flags(s), SHORT)),
@@ -127,8 +141,8 @@ QUERIES = {
     "trioeval_err": _over(lambda s: trio.phase_errors(s, _flags(s), SHORT)),
     "trioeval_frag": _over(lambda s: trio.fragments(s, _flags(s), SHORT)),
     "trioeval_totals": _over(lambda s: _round(trio.phasing_totals(trio.phasing(s, _flags(s), SHORT)), rate=6)),
-    "chkerr": _over(lambda s: regions.low_support(part(s, 10, 19), _a(s, SHORT), SHORT)),
-    "sexchr_flags": _over(lambda s: lookup.set_flags(*(tables.count(part(s, a, b), SHORT) for a, b in ((0, 1), (2, 3), (4, 4))))),
+    "chkerr": _over(lambda s: regions.low_support(part(s, 10), _a(s, SHORT), SHORT)),
+    "sexchr_flags": _over(lambda s: lookup.set_flags(*_sex_tables(s))),
     "sexchr": _over(_sex),
     "groupxy": _over(lambda s: sexchr.partition(_sex(s), sexchr.PartitionOptions(0.3, 0.2, 0.5))),
     "inspect_hist": _over(lambda s: compare.histogram_rows(tables.count(s, SHORT))),
