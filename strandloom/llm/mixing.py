@@ -37,17 +37,16 @@ TARGETS = (0.05, 0.80, 0.15)
 TRAIN_ROWS, ROUNDS = 8_000, 40
 #: Log-likelihood ratio of a term between the domains, from which on it is a feature (chi-square of two degrees: one chance in a thousand).
 SURE = 13.8
-WORD, CAPITALS = re.compile(r"\w+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORD = re.compile(r"\w+")
+MARKS, CAPITALS, DIGITS = b"!#$%&*|{}<>=_~^\\@", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 FORM = 13
-CACHE = 300_000
 
 
-def form(text: str, words: list[str]) -> tuple[float, ...]:
+def form(text: str, words: list[str], distinct: int) -> tuple[float, ...]:
     """Numbers that tell the form of a text: lengths, repeats, marks, capitals, digits, lines."""
-    n, m, lines = max(1, len(text)), max(1, len(words)), text.split("\n")
-    count = lambda letters: sum(map(text.count, letters))
-    marks, caps, digits = count("!#$%&*|{}<>=_~^\\@"), count(CAPITALS), count("0123456789")
-    size = (1, math.log1p(len(words)) / 10, math.log1p(len(text)) / 12, len(text) / m / 10, len(set(words)) / m)
+    n, m, lines, raw = max(1, len(text)), max(1, len(words)), text.split("\n"), text.encode("utf-8", "surrogatepass")
+    marks, caps, digits = (len(raw) - len(raw.translate(None, letters)) for letters in (MARKS, CAPITALS, DIGITS))
+    size = (1, math.log1p(len(words)) / 10, math.log1p(len(text)) / 12, len(text) / m / 10, distinct / m)
     kinds = (10 * marks / n, caps / n * 5, digits / n * 5, len(set(lines)) / len(lines), min(1, len(lines) / m * 5))
     return *size, *kinds, len(text) < 200, text.count(".") / m * 5, (text.count("!") + text.count("*")) / m
 
@@ -62,20 +61,16 @@ class Domains:
 
     def __init__(self, terms: list[str], weights: np.ndarray):
         self.index, self.weights = {t: FORM + i for i, t in enumerate(terms)}, weights
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.whole = {t for t in terms if t[-1:] != "-"}
+        self.beginnings = {t[:-1]: i for t, i in self.index.items() if t[-1:] == "-"}
 
     def features(self, text: str | None) -> tuple[tuple[float, ...], list[int]]:
         text = text or ""
-        words, index, known, hit = WORD.findall(text.lower()), self.index, self.known, set()
-        for w in set(words):
-            got = known.get(w)
-            if got is None:
-                if len(known) > CACHE:
-                    known.clear()
-                got = known[w] = tuple(index[t] for t in terms_of(w) if t in index)
-            if got:
-                hit.update(got)
-        return form(text, words), sorted(hit)
+        words, index = WORD.findall(text.lower()), self.index
+        distinct = set(words)
+        hit = [index[w] for w in distinct & self.whole]
+        hit += [self.beginnings[p] for p in {w[:4] for w in distinct if len(w) > 4} & self.beginnings.keys()]
+        return form(text, words, len(distinct)), sorted(hit)
 
     def posteriors(self, texts: list[str | None]) -> np.ndarray:
         z = np.zeros((len(texts), self.weights.shape[1]))
