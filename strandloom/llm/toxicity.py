@@ -34,12 +34,12 @@ SURE, EDGE = 10.83, 13.8
 ROUNDS, JOINS = 10, (0, 4)
 WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = ("!capitals", "!exclaims", "!several", "!none")
-CACHE = 300_000
+BEGINNINGS = (4, 5)
 
 
 def terms_of(word: str) -> tuple[str, ...]:
     """A lower-case word and its beginnings."""
-    return (word, *(word[:n] + "-" for n in (4, 5) if len(word) >= n))
+    return (word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n))
 
 
 def words_of(text: str | None) -> set[str]:
@@ -129,9 +129,14 @@ class LabelModel:
             out[:, y] += np.log(self.prior if y else 1 - self.prior) + np.where(g < 0, 0.0, np.log(self.given[y])[np.maximum(g, 0)])
         return out
 
-    def posterior(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
-        low, high = self.likelihood(x, g).T
-        return 1 / (1 + np.exp(np.clip(low - high, -500, 500)))
+    def posterior(self, x: np.ndarray, g: np.ndarray, rows: int = 1_000) -> np.ndarray:
+        """The chance of class 1 of each row, ``rows`` at a time, as doubles of all would not fit beside the rest."""
+        out = np.empty(len(x))
+        for at in range(0, len(x), rows):
+            part = slice(at, at + rows)
+            low, high = self.likelihood(x[part].astype(float), g[part]).T
+            out[part] = 1 / (1 + np.exp(np.clip(low - high, -500, 500)))
+        return out
 
     def sums(self, x: np.ndarray, g: np.ndarray, n: np.ndarray, pairs: bool = False) -> dict[str, np.ndarray]:
         """What a round of EM needs of rows that occur ``n`` times: by class, documents, votes, votes with the parent's (or of all pairs), labels."""
@@ -220,7 +225,11 @@ def votes(docs: DataFrame, labels: DataFrame, scorer: Scorer, id_col: str, text_
 
 
 def distributed_sums(patterns: DataFrame, voters: int):
-    """``sums`` of ``fit_labels`` over vote patterns: tasks add up blocks of rows, a grouped aggregation adds up the tasks."""
+    """``sums`` of ``fit_labels`` over vote patterns: tasks add up blocks of rows, a grouped aggregation adds up the tasks.
+
+    A task returns at most a row for each parameter, so there are only some tasks for each core, however many partitions the patterns have.
+    """
+    patterns = patterns.coalesce(4 * patterns.sparkSession.sparkContext.defaultParallelism if patterns.count() > 100_000 else 8)
 
     def sums(model: LabelModel, pairs: bool) -> dict[str, np.ndarray]:
         shapes = {k: v.shape for k, v in model.sums(np.zeros((0, voters)), np.zeros(0, int), np.zeros(0), pairs).items()}
@@ -232,6 +241,8 @@ def distributed_sums(patterns: DataFrame, voters: int):
                 x = np.zeros((b.num_rows, voters))
                 x[np.repeat(np.arange(b.num_rows), on.value_lengths().to_numpy()), on.flatten().to_numpy()] = 1
                 got = model.sums(x, b.column(1).to_numpy(), b.column(2).to_numpy().astype(float), pairs)
+                if pairs:
+                    got["pairs"] = np.triu(got["pairs"])
                 flat = np.concatenate([v.ravel() for v in got.values()])
                 whole = flat if whole is None else whole + flat
             if whole is not None:
@@ -243,7 +254,10 @@ def distributed_sums(patterns: DataFrame, voters: int):
         flat = np.zeros(sum(math.prod(s) for s in shapes.values()))
         flat[added.column("at").to_numpy()] = np.round(added.column("v").to_numpy(), 6)  # whatever the order of the tasks
         ends = np.cumsum([math.prod(s) for s in shapes.values()])
-        return {k: part.reshape(s) for (k, s), part in zip(shapes.items(), np.split(flat, ends[:-1]), strict=True)}
+        out = {k: part.reshape(s) for (k, s), part in zip(shapes.items(), np.split(flat, ends[:-1]), strict=True)}
+        if pairs:
+            out["pairs"] += np.triu(out["pairs"], 1).swapaxes(1, 2)
+        return out
 
     return sums
 
@@ -295,19 +309,15 @@ class Scorer:
         self.index = {t: i for i, t in enumerate(terms)}
         self.leaning, self.voters, self.weight, self.bias = leaning, sorted(leaning), weight.tolist(), bias
         self.toxic = frozenset(i for i, y in leaning.items() if y and not terms[i].startswith("!"))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.whole = {t for t in terms if t[-1:] != "-" and t[:1] != "!"}
+        self.beginnings = {n: {t[:-1]: i for i, t in enumerate(terms) if t[-1:] == "-" and len(t) == n + 1} for n in BEGINNINGS}
 
     def active(self, text: str | None) -> set[int]:
         """The features of a text: its terms, and the patterns."""
-        index, known, hit = self.index, self.known, set()
-        for w in words_of(text):
-            got = known.get(w)
-            if got is None:
-                if len(known) > CACHE:
-                    known.clear()
-                got = known[w] = tuple(index[t] for t in terms_of(w) if t in index)
-            if got:
-                hit.update(got)
+        index, words = self.index, words_of(text)
+        hit = {index[w] for w in words & self.whole}
+        for n, found in self.beginnings.items():
+            hit.update([found[p] for p in {w[:n] for w in words if len(w) >= n} & found.keys()])
         form, lexicon = form_of(text), len(hit & self.toxic)
         hit.update(index[p] for p in form)
         if lexicon >= 3:
@@ -349,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     start = np.stack([(x[y == c].sum(axis=0, dtype=float) + 0.5) / ((y == c).sum() + 1) for c in (0, 1)])
     model = LabelModel(size.pos / size.n, np.clip(start, 1e-6, 1 - 1e-6))
     fit_labels(model, distributed_sums(votes(docs, labels, draft, id_col, text_col), len(terms)))
-    return Scorer(terms, leaning, *fit_linear(x, model.posterior(x.astype(float), y)))
+    return Scorer(terms, leaning, *fit_linear(x, model.posterior(x, y)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
