@@ -2,8 +2,8 @@
 
 1. Terms (words and word beginnings of four and five letters) are counted by class over a bounded sample of labelled rows
    (``TRAIN_ROWS``, smallest id hash) in a grouped aggregation. Every term whose log-likelihood ratio is beyond ``SURE`` is a
-   lexicon voter, for toxic or for clean by the side it leans to, beside pattern voters: capitals, exclamation marks and several
-   lexicon terms vote toxic, the lack of any of these votes clean.
+   feature, and a lexicon voter if ``PRECISE`` of its labelled texts are toxic. Pattern voters stand beside them: capitals, exclamation
+   marks and several lexicon terms vote toxic, the lack of any of these votes clean.
 2. All documents vote, labelled or not (those held out do not). The generative model has a latent class; every voter fires at a rate that
    depends on the class and on one other voter, its parent in a tree of maximal conditional mutual information, so the
    correlations of voters are parameters. A given label is one more voter, whose errors are estimated like
@@ -30,6 +30,8 @@ from strandloom.llm.common import bounded_sample, cut, others, slices, table
 TRAIN_ROWS, THRESHOLD = 12_000, 0.3
 #: Log-likelihood ratio of a term (chi-square of one degree: one chance in a thousand); twice the information of an edge of the tree (two degrees, as rare).
 SURE, EDGE = 10.83, 13.8
+#: Part of the labelled texts with a term that must be toxic for the term to vote; a vague term is a feature of the classifier only, lest a topic pass for the class.
+PRECISE = 0.8
 #: Rounds of EM, and those before which the tree is chosen.
 ROUNDS, JOINS = 10, (0, 4)
 WORD = re.compile(r"[^\W\d_]+")
@@ -111,7 +113,7 @@ class LabelModel:
     """
 
     def __init__(self, prior: float, rate: np.ndarray):
-        """``prior``: share of class 1; ``rate`` (2, voters): where EM starts."""
+        """``prior``: share of class 1, which stays that of the labels; ``rate`` (2, voters): where EM starts."""
         self.prior, self.parent = prior, np.full(rate.shape[1], -1)
         self.rate = np.stack([rate, rate], axis=1)
         self.given = np.array([[0.9, 0.1], [0.1, 0.9]])
@@ -165,7 +167,6 @@ class LabelModel:
             alone = (s["votes"][y] - s["with"][y] + own) / (s["all"][y] - fired + 1)
             after = (s["with"][y] + 2 * own) / (fired + 2)
             self.rate[y] = np.clip([alone, np.where(self.parent >= 0, after, alone)], 1e-6, 1 - 1e-6)
-        self.prior = float(np.clip((s["all"][1] + 0.5) / (s["all"].sum() + 1), 1e-6, 1 - 1e-6))
         right = np.array([[9.0, 1.0], [1.0, 9.0]])  # ten documents' worth of trust in labels
         self.given = (s["given"] + right) / (s["given"] + right).sum(axis=1, keepdims=True)
 
@@ -341,7 +342,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_neg = size.n - size.pos
     chosen = choose_terms(term_counts(sample), size.pos, n_neg)
     terms = [t for t, _, _ in chosen] + list(PATTERNS)
-    leaning = {i: int(p * n_neg > q * size.pos) for i, (_, p, q) in enumerate(chosen)}
+    leaning = {i: 1 for i, (_, p, q) in enumerate(chosen) if p >= PRECISE * (p + q)}
     leaning |= {len(chosen) + i: int(p != "!none") for i, p in enumerate(PATTERNS)}
     draft = Scorer(terms, leaning, np.zeros(len(terms)), 0.0)
 
@@ -356,10 +357,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         x[i, on] = 1
     y = np.array([v for _, v in got], np.int64)
     # EM starts at the rates of the labelled sample
-    start = np.stack([(x[y == c].sum(axis=0, dtype=float) + 0.5) / ((y == c).sum() + 1) for c in (0, 1)])
+    start = np.stack([(x[y == c][:, draft.voters].sum(axis=0, dtype=float) + 0.5) / ((y == c).sum() + 1) for c in (0, 1)])
     model = LabelModel(size.pos / size.n, np.clip(start, 1e-6, 1 - 1e-6))
-    fit_labels(model, distributed_sums(votes(docs, labels, draft, id_col, text_col), len(terms)))
-    return Scorer(terms, leaning, *fit_linear(x, model.posterior(x, y)))
+    fit_labels(model, distributed_sums(votes(docs, labels, draft, id_col, text_col), len(draft.voters)))
+    return Scorer(terms, leaning, *fit_linear(x, model.posterior(x[:, draft.voters], y)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
