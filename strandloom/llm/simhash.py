@@ -13,6 +13,9 @@ spanning forest: at most one link for each fingerprint in it, deduplicated there
 A bucket that holds far more variants than the mean, as that of a large group of near
 copies does, is salted: each salt takes the variants of one hash class, all of them
 are taken by some salt, and no task has to hold more than about ``per_task`` variants.
+The class is linear (the exclusive or of a code for each bit), so that of a variant is
+that of its fingerprint with that of its flips: a salt looks up the flips that lead to
+it and makes no other variant; over all salts each is made once.
 
 Copies have one fingerprint and meet in a group-by before all this.
 """
@@ -79,9 +82,19 @@ def _masks(bits: list[int], most: int) -> list[tuple[int, int]]:
     return out
 
 
-def _mix(v: np.ndarray) -> np.ndarray:
-    v = (v ^ (v >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return v ^ (v >> np.uint64(33))
+def _bit_codes(bits: list[int]) -> np.ndarray:
+    """A 32-bit code for each bit; a variant's class is the exclusive or of the codes of its bits, in as many low bits as the bucket has salts."""
+    v = np.array(bits, np.uint64) + np.uint64(1)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        v = (v ^ (v >> np.uint64(33))) * np.uint64(factor)
+    return (v >> np.uint64(32)).astype(np.int64)
+
+
+def _classes(values: np.ndarray, bits: list[int], codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(values), np.int64)
+    for b, c in zip(bits, codes.tolist(), strict=True):
+        out ^= (values >> np.uint64(b) & np.uint64(1)).astype(np.int64) * c
+    return out
 
 
 def ball_links(fps: DataFrame, per_task: int = 2_000_000, prefix_bits: int | None = None) -> DataFrame:
@@ -91,36 +104,40 @@ def ball_links(fps: DataFrame, per_task: int = 2_000_000, prefix_bits: int | Non
     """
     if prefix_bits is None:
         n = fps.count()
-        prefix_bits = min(16, max(8, math.ceil(math.log2(max(n, 1) * 2081 / per_task + 1e-9))))
+        prefix_bits = min(24, max(8, math.ceil(math.log2(max(n, 1) * 2081 / per_task + 1e-9))))
     k = prefix_bits
     flips = F.array(*(F.struct(F.lit(m).cast("int").alias("m"), F.lit(w).cast("byte").alias("w")) for m, w in _masks(list(range(k)), HALF)))
     low = F.col("fp").bitwiseAND(F.lit((1 << k) - 1)).cast("int")
     dealt = fps.select("fp", F.explode(flips).alias("f")).select("fp", low.bitwiseXOR(F.col("f.m")).alias("bucket"), F.col("f.w").alias("w"))
     rest = list(range(k, BITS))
     sizes = [len(_masks(rest, HALF - w)) for w in range(HALF + 1)]
+    codes = _bit_codes(rest)
     cost = F.element_at(F.array(*(F.lit(s).cast("long") for s in sizes)), F.col("w") + 1)
-    # at most 2^16 rows of 12 bytes, whatever the input
-    hot = dealt.groupBy("bucket").agg(F.ceil(F.sum(cost) / (2 * per_task)).cast("int").alias("salts")).filter("salts > 1")
-    dealt = dealt.join(F.broadcast(hot), "bucket", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    over = F.sum(cost) / (2 * per_task)
+    hot = dealt.groupBy("bucket").agg(over.alias("over")).filter("over > 1").select("bucket", F.pow(2, F.ceil(F.log2("over"))).cast("int").alias("salts"))
+    # up to 16 bits at most 2^16 rows of 12 bytes, whatever the input; beyond, AQE decides by their size
+    dealt = dealt.join(F.broadcast(hot) if k <= 16 else hot, "bucket", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def meet(key, got):
         fp, w = got.column("fp").to_numpy().view(np.uint64), got.column("w").to_numpy()
-        salt, salts = np.uint64(key[1].as_py()), np.uint64(got.column("salts")[0].as_py())
+        salt, salts = key[1].as_py(), got.column("salts")[0].as_py()
         node, first = np.unique(fp, return_index=True)
         fp, w = node, w[first]
-        var, src, kept = [], [], 0
-        masks = [np.array([m for m, _ in _masks(rest, HALF - x)], np.uint64) for x in range(HALF + 1)]
+        var, src = [], []
         for x in range(HALF + 1):
             rows = np.flatnonzero(w == x)
-            step = max(1, per_task // len(masks[x]))
-            for at in range(0, len(rows), step):
-                own = rows[at : at + step]
-                v, s = (fp[own][:, None] ^ masks[x][None, :]).ravel(), np.repeat(own, len(masks[x]))
-                v &= ~np.uint64((1 << k) - 1)  # the prefix is the bucket's for all
-                if salts > 1:
-                    mine = _mix(v) % salts == salt
-                    v, s = v[mine], s[mine]
-                var.append(v), src.append(s.astype(np.int32))
+            masks = np.array([m for m, _ in _masks(rest, HALF - x)], np.uint64)
+            kind = _classes(masks, rest, codes) % salts
+            order = np.argsort(kind)
+            starts = np.searchsorted(kind[order], np.arange(salts + 1))
+            want = _classes(fp[rows], rest, codes) % salts ^ salt
+            n = starts[want + 1] - starts[want]
+            ends = np.cumsum(n)
+            at = np.arange(n.sum()) + np.repeat(starts[want] + n - ends, n)
+            s = np.repeat(rows, n)
+            v = fp[s] ^ masks[order[at]]
+            v &= ~np.uint64((1 << k) - 1)  # the prefix is the bucket's for all
+            var.append(v), src.append(s.astype(np.int32))
         var, src = np.concatenate(var), np.concatenate(src)
         order = np.argsort(var)
         var, src = var[order], src[order]

@@ -77,6 +77,32 @@ def test_links_near_the_radius(spark, per_task):
     assert all(len(v) == 1 for v in by.values()) and len(by) == len(set().union(*by.values()))
 
 
+def test_salts_make_every_variant_once():
+    bits = list(range(8, 64))
+    codes, masks = simhash._bit_codes(bits), np.array([m for m, _ in simhash._masks(bits, 2)], np.uint64)
+    assert len(set(codes.tolist())) == len(codes)
+    of_masks = simhash._classes(masks, bits, codes)
+    for fp in (0, 1 << 63, 0x0123456789ABCDEF):
+        variants = np.uint64(fp) ^ masks
+        assert (simhash._classes(variants, bits, codes) == simhash._classes(np.array([fp], np.uint64), bits, codes)[0] ^ of_masks).all()
+    sizes = np.bincount(of_masks % 16, minlength=16)
+    assert sizes.sum() == len(masks) and sizes.max() < 2 * sizes.mean()
+
+
+@pytest.mark.parametrize("prefix_bits", [None, 17])
+def test_links_of_one_hot_cluster(spark, prefix_bits):
+    r = random.Random(7)
+    base = r.getrandbits(63)
+    fps = sorted({base ^ sum(1 << b for b in r.sample(range(64), r.choice([1, 2, 3, 7]))) for _ in range(120)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    links = simhash.ball_links(spark.createDataFrame([(x,) for x in signed], "fp long"), per_task=2_000, prefix_bits=prefix_bits)
+    got = {x.node: x.root for x in components.connected_components(links).collect()}
+    by = {}
+    for x, c in zip(signed, brute_components(fps, list(range(len(fps)))), strict=True):
+        by.setdefault(c, set()).add(got.get(x, x))
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len(set().union(*by.values()))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100), (300, 200), (200, 250)]
     got = {x.node: x.root for x in components.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
