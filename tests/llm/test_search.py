@@ -86,9 +86,16 @@ def test_neighbours_of_huge_vectors():
     c = np.vstack([r.normal(size=(30, 3)), [[1e200, 1e200, 0.0], [1e300, -1e300, 1e300], [-1e308, 1e308, 0.0]]])
     q = np.array([[1.0, 0, 0], [1e200, 1e-200, 0], [1e308, 1e308, 1e308]])
     got = nearest.tile_top(np.array([100, 101, 102]), q, np.arange(33), c, 5)
-    exact = lambda a, b: sum(Fraction(float(x)) * Fraction(float(y)) for x, y in zip(a, b, strict=True))
+
+    def score(a, b):
+        exact = sum(Fraction(float(x)) * Fraction(float(y)) for x, y in zip(a, b, strict=True))
+        try:
+            return float(exact)
+        except OverflowError:  # beyond the largest double: infinite, and equal to all others there
+            return np.inf if exact > 0 else -np.inf
+
     for row, found in zip(q, got, strict=True):
-        best = sorted(range(33), key=lambda i: (-exact(c[i], row), i))[:5]
+        best = sorted(range(33), key=lambda i: (-score(c[i], row), i))[:5]
         assert len(found) == 5 and {i for _, i in found} == set(best)
         assert not any(np.isnan(s) for s, _ in found)
     assert got[0][0] == (-1e300, 31) and got[0][1] == (-1e200, 30)
