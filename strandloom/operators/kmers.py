@@ -38,3 +38,8 @@ def explode_kmers(seqs: DataFrame, k: int, *keys: str, size: int = CHUNK) -> Dat
 
     rows = part.select(*keys, "off", F.posexplode(F.transform(F.sequence(F.lit(0), F.length("part") - k), window)).alias("i", "kmer"))
     return rows.filter("kmer is not null").select(*keys, (F.col("off") + F.col("i") + (k - 1)).cast("long").alias("pos"), "kmer")
+
+
+def windows(seq, k: int):
+    """How many rows ``explode_kmers`` makes of a sequence: the windows of its runs of A, C, G, T (U)."""
+    return F.aggregate(F.split(bases(seq), "[^ACGT]+"), F.lit(0).cast("long"), lambda n, run: n + F.greatest(F.length(run) - (k - 1), F.lit(0)))

@@ -27,6 +27,11 @@ def annotate(seqs: DataFrame, table: DataFrame, k: int) -> DataFrame:
     return explode_kmers(seqs, k).join(table, "kmer", "left")
 
 
+def annotate_known(seqs: DataFrame, table: DataFrame, k: int) -> DataFrame:
+    """The occurrences ``(seq_id, pos, kmer)`` that the table holds, with its value."""
+    return explode_kmers(seqs, k).join(table, "kmer")
+
+
 def annotate_bags(seqs: DataFrame, table: DataFrame, k: int) -> DataFrame:
     """As ``annotate`` without positions: ``(seq_id, kmer, n)`` is counted before the join, which then has a row for each distinct pair."""
     bags = explode_kmers(seqs, k).groupBy("seq_id", "kmer").agg(F.count(F.lit(1)).alias("n"))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from strandloom.functions.bases import ceil_div, parent_type
 from strandloom.operators.islands import islands
-from strandloom.operators.lookup import annotate, annotate_bags
+from strandloom.operators.kmers import windows
+from strandloom.operators.lookup import annotate_known
 from strandloom.operators.options import TrioOptions
 
 
 def typed_islands(seqs: DataFrame, flags: DataFrame, k: int) -> DataFrame:
     """Runs of strong k-mers of one parent; only typed positions are joined out and ordered."""
     typed = flags.withColumn("type", parent_type(F.col("flag"))).filter("type > 0").select("kmer", "type")
-    occ = annotate(seqs, typed, k).filter("type is not null").select("seq_id", "pos", "type")
+    occ = annotate_known(seqs, typed, k).select("seq_id", "pos", "type")
     return islands(occ)
 
 
@@ -36,26 +37,29 @@ def classify(k: int, s0, s1, p, m, ratio: float):
 
 def binning(seqs: DataFrame, flags: DataFrame, k: int, opt: TrioOptions = TrioOptions()) -> DataFrame:
     """A row for every sequence: ``(seq_id, name, type, sc0, sc1, c2, c8, c1, c4, nk, c0)``."""
-    flag = F.coalesce("flag", F.lit(0))
-    counts = annotate_bags(seqs, flags, k).groupBy("seq_id").agg(F.sum("n").alias("nk"), *(F.sum(F.when(flag == v, F.col("n")).otherwise(0)).alias(f"c{v}") for v in (0, 1, 2, 4, 8)))
-    runs = islands_lengths(typed_islands(seqs, flags, k), k)
-    names = ["nk", "c0", "c1", "c2", "c4", "c8", "sc0", "sc1"]
-    all_ = seqs.select("seq_id", "name").join(counts, "seq_id", "left").join(runs, "seq_id", "left").fillna(0, names)
+    per = runs_by_flag(annotate_known(seqs, flags.filter("flag <> 0"), k), k)
+    names = ["known", "c1", "c2", "c4", "c8", "sc0", "sc1"]
+    all_ = seqs.select("seq_id", "name", windows("seq", k).alias("nk")).join(per, "seq_id", "left").fillna(0, names)
     kind = classify(k, F.col("sc0"), F.col("sc1"), F.col("c2"), F.col("c8"), opt.ratio)
-    return all_.select("seq_id", "name", kind.alias("type"), "sc0", "sc1", "c2", "c8", "c1", "c4", "nk", "c0")
+    return all_.select("seq_id", "name", kind.alias("type"), "sc0", "sc1", "c2", "c8", "c1", "c4", "nk", (F.col("nk") - F.col("known")).alias("c0"))
 
 
-def islands_lengths(runs: DataFrame, k: int) -> DataFrame:
-    """Per sequence, the bases in runs of at least k - 4 positions, by parent."""
-    long = runs.withColumn("n", F.col("end") - F.col("first")).filter(F.col("n") >= k - 4)
-    return long.groupBy("seq_id").agg(*(F.sum(F.when(F.col("type") == t, F.col("n")).otherwise(0)).alias(f"sc{t - 1}") for t in (1, 2)))
+def runs_by_flag(hits: DataFrame, k: int) -> DataFrame:
+    """``(seq_id, known, c1, c2, c4, c8, sc0, sc1)`` of positions with a flag.
+
+    Runs of one flag hold its positions, so their lengths add up to its count, and the long ones of the two strong flags are the
+    bases of each parent: one pass over the positions gives both.
+    """
+    n = F.col("end") - F.col("first")
+    of = lambda flag, low=1: F.sum(F.when((F.col("flag") == flag) & (n >= low), n).otherwise(0))
+    return islands(hits, kind="flag").groupBy("seq_id").agg(F.sum(n).alias("known"), *(of(f).alias(f"c{f}") for f in (1, 2, 4, 8)), *(of(f, k - 4).alias(f"sc{i}") for i, f in enumerate((2, 8))))
 
 
 def differences(seqs: DataFrame, flags: DataFrame, k: int) -> DataFrame:
     """``(seq_id, name, pos, pat, mat)`` of the positions where the parents' levels differ."""
     pat, mat = F.col("flag").bitwiseAND(F.lit(3)), F.shiftright("flag", 2).bitwiseAND(F.lit(3))
     unequal = flags.select("kmer", pat.alias("pat"), mat.alias("mat")).filter("pat <> mat")
-    occ = annotate(seqs, unequal, k).filter("pat is not null")
+    occ = annotate_known(seqs, unequal, k)
     return occ.join(seqs.select("seq_id", "name"), "seq_id").select("seq_id", "name", "pos", "pat", "mat")
 
 
