@@ -51,7 +51,7 @@ def runs_by_flag(hits: DataFrame, k: int) -> DataFrame:
     bases of each parent: one pass over the positions gives both.
     """
     n = F.col("end") - F.col("first")
-    of = lambda flag, low=1: F.sum(F.when((F.col("flag") == flag) & (n >= low), n).otherwise(0))
+    of = lambda flag, low=1: F.sum(F.when((F.col("type") == flag) & (n >= low), n).otherwise(0))
     return islands(hits, kind="flag").groupBy("seq_id").agg(F.sum(n).alias("known"), *(of(f).alias(f"c{f}") for f in (1, 2, 4, 8)), *(of(f, k - 4).alias(f"sc{i}") for i, f in enumerate((2, 8))))
 
 
