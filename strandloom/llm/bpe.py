@@ -31,13 +31,49 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandloom.llm.common import cut, others, scratch, slices, table
 from strandloom.llm.files import open_out
-from strandloom.llm.words import Dictionary, byte_letters, chunks, words_of
+from strandloom.llm.words import Dictionary, byte_letters, chunks, words_of, words_of_spaced
 
 LEXICON = 32_768
 NONE = np.int32(2**31 - 1)
 MAGIC = b"LEXA"
 
 
+class Slots:
+    """A hash table of distinct non-negative keys for look-ups of whole arrays: a key that finds its slot taken goes to the next, smaller level."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.levels = []
+        while len(keys):
+            bits = max(4, (8 * len(keys)).bit_length())
+            held, value = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
+            multiplier = np.uint64((0x9E3779B97F4A7C15 + 0x632BE59BD9B4E01A * len(self.levels)) % (1 << 64) | 1)
+            self.levels.append((multiplier, np.uint64(64 - bits), held, value))
+            slot = self._slot(keys, *self.levels[-1][:2])
+            held[slot], value[slot] = keys, values
+            left = held[slot] != keys
+            keys, values = keys[left], values[left]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, multiplier: np.uint64, shift: np.uint64) -> np.ndarray:
+        return ((keys.view(np.uint64) * multiplier) >> shift).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, ``NONE`` for one that the table hasn't."""
+        out = np.full(keys.shape, NONE, np.int32)
+        flat, todo, asked = out.reshape(-1), None, keys.reshape(-1)
+        for multiplier, shift, held, value in self.levels:
+            slot = self._slot(asked, multiplier, shift)
+            found = held[slot]
+            same = found == asked
+            at = np.flatnonzero(same)
+            flat[at if todo is None else todo[at]] = value[slot[at]]
+            other = np.flatnonzero(~same & (found >= 0))
+            if not len(other):
+                break
+            todo, asked = other if todo is None else todo[other], asked[other]
+        return out
+
+
 class Vocabulary:
     """Ranks, ids and bytes of a byte-level BPE file."""
 
@@ -60,9 +96,11 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank.setdefault(vocab[a] << 20 | vocab[b], n)
             self.made.append(vocab[a + b])
-        order = sorted(self.rank.items())
-        self.keys, self.key_rank = np.array([k for k, _ in order], np.int64), np.array([r for _, r in order], np.int32)
+        self.pairs = Slots(np.array([*self.rank], np.int64), np.array([*self.rank.values()], np.int32))
         self.made_ids, self.byte_ids = np.array(self.made, np.int64), np.array(self.byte_id, np.int64)
+        self.byte_rank = self.pairs.get(self.byte_ids[:, None] << 20 | self.byte_ids)
+        lengths = np.array([*map(len, self.bytes), 0], np.int64)
+        self.letters, self.sizes, self.starts = np.frombuffer(b"".join(self.bytes), np.uint8), lengths, np.cumsum(lengths) - lengths
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merge(self, word: bytes) -> list[int]:
@@ -99,45 +137,38 @@ class Vocabulary:
                     out[i] = ids
         return out
 
-    def _rank_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a.astype(np.int64) << 20 | b
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys[at] == key) & (b >= 0), self.key_rank[at], NONE)
-
     def _merge_rows(self, words: list[bytes], lengths: np.ndarray, width: int) -> list[bytes]:
+        """A row of ``width`` places a word; a merge keeps its pair's left place, the right one leaves the chain of neighbours."""
         n = len(words)
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
-        cols = np.arange(width)
-        final = np.where(cols < lengths[:, None], self.byte_ids[raw], -1)
-        size = lengths.copy()
-        live, ids = np.arange(n), final.copy()
-        rank = np.full((n, width), NONE, np.int32)  # of the pair at each position
-        rank[:, :-1] = self._rank_many(ids[:, :-1], ids[:, 1:])
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
+        inside = np.arange(width) < lengths[:, None]
+        ids = np.where(inside, self.byte_ids[raw], -1)
+        rank = np.full((n, width), NONE, np.int32)  # of the pair that begins at each place
+        rank[:, :-1] = np.where(inside[:, 1:], self.byte_rank[raw[:, :-1], raw[:, 1:]], NONE)
+        place = np.arange(n * width).reshape(n, width)
+        left, right = np.where(place % width > 0, place - 1, -1).ravel(), np.where((place + 1) % width > 0, place + 1, -1)
+        right[~np.roll(inside, -1, axis=1)] = -1
+        ids, flat, right = ids.ravel(), rank.ravel(), right.ravel()
+        live = np.arange(n)
         while len(live):
-            best = rank.argmin(axis=1)
-            low = rank[np.arange(len(live)), best]
+            best = rank[live].argmin(axis=1) + live * width
+            low = flat[best]
             going = low < NONE
-            if not going.all():
-                final[live[~going]] = ids[~going]
-                live, ids, rank, best, low = live[going], ids[going], rank[going], best[going], low[going]
-                if not len(live):
-                    break
-            r = np.arange(len(live))
-            shift = cols[:-1] > best[:, None]
-            ids[:, :-1] = np.where(shift, ids[:, 1:], ids[:, :-1])
-            ids[:, -1] = -1
-            ids[r, best] = self.made_ids[low]
-            rank[:, :-1] = np.where(cols[:-1] >= best[:, None], rank[:, 1:], rank[:, :-1])
-            rank[:, -1] = NONE
-            size[live] -= 1
-            right = ids[r, np.minimum(best + 1, width - 1)]
-            rank[r, best] = np.where(best + 1 < width, self._rank_many(ids[r, best], right), NONE)
-            inner = np.flatnonzero(best > 0)
-            rank[inner, best[inner] - 1] = self._rank_many(ids[inner, best[inner] - 1], ids[inner, best[inner]])
-        flat = final[cols < size[:, None]].astype(np.uint32).tobytes()
-        ends = np.cumsum(size * 4).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            live, at, low = live[going], best[going], low[going]
+            gone = right[at]
+            after, before = right[gone], left[at]
+            made = self.made_ids[low]
+            ids[at], ids[gone], flat[gone], right[at] = made, -1, NONE, after
+            has = after >= 0
+            left[after[has]] = at[has]
+            flat[at] = NONE
+            flat[at[has]] = self.pairs.get(made[has] << 20 | ids[after[has]])
+            has = before >= 0
+            flat[before[has]] = self.pairs.get(ids[before[has]] << 20 | made[has])
+        own = ids >= 0
+        ends = (4 * np.cumsum(own.reshape(n, width).sum(axis=1))).tolist()
+        out = ids[own].astype(np.uint32).tobytes()
+        return [out[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, rank = len(ids), self.rank
@@ -236,7 +267,7 @@ class Lexicon:
 
         self.arrays = {name: np.frombuffer(getattr(self, name), np.uint32).astype(np.int64) for name in ("first", "target", "out", "at")}
         source = np.repeat(np.arange(n_states), np.diff(self.arrays["first"]))
-        self.arcs = source << 8 | np.frombuffer(view[at : at + n_arcs], np.uint8)  # ascending
+        self.arcs = Slots(source << 8 | np.frombuffer(view[at : at + n_arcs], np.uint8), np.arange(n_arcs, dtype=np.int32))
         self.ends = np.frombuffer(self.final, np.uint8) > 0
 
     def get_many(self, words: list[bytes]) -> list[bytes | None]:
@@ -256,9 +287,8 @@ class Lexicon:
             live = live[lengths[live] > i]
             if not len(live):
                 break
-            key = state[live] << 8 | letters[starts[live] + i]
-            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
-            has = self.arcs[arc] == key
+            arc = self.arcs.get(state[live] << 8 | letters[starts[live] + i])
+            has = arc != NONE
             live, arc = live[has], arc[has]
             rank[live] += self.arrays["out"][arc]
             state[live] = self.arrays["target"][arc]
@@ -327,16 +357,17 @@ def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 500_000) -
 
         def out():
             words: Counter = Counter()
-            for before, part in zip(("", " "), seen, strict=True):
-                for chunk, n in part.items():
-                    for w in words_of(before + chunk):
+            for spaced, part in zip((False, True), seen, strict=True):
+                split = words_of_spaced(list(part)) if spaced else map(words_of, part)
+                for own, n in zip(split, part.values(), strict=True):
+                    for w in own:
                         words[w] += n
                 part.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
         for b in slices(batches):
-            for x in b.column(0):
-                for part, got in zip(seen, chunks(x.as_py() or ""), strict=True):
+            for text in b.column(0).to_pylist():
+                for part, got in zip(seen, chunks(text or ""), strict=True):
                     part.update(got)
                 if sum(map(len, seen)) >= flush:
                     yield out()
@@ -393,6 +424,26 @@ def decode_ids(vocab: Vocabulary, ids) -> bytes:
     return b"".join([known[i] for i in ids if 0 <= i < len(known)]) if len(ids) else b""
 
 
+def decode_many(vocab: Vocabulary, ids: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> pa.Array:
+    """The texts of several documents' ids, given one after the other with the end of each."""
+    bounds, parts = np.zeros(len(ids) + 1, np.int64), []
+    for at in range(0, len(ids), block):
+        own = ids[at : at + block].astype(np.int64)
+        own[(own < 0) | (own >= len(vocab.bytes))] = len(vocab.bytes)  # whose bytes are none
+        size = vocab.sizes[own]
+        after = np.cumsum(size)
+        bounds[at + 1 : at + 1 + len(own)] = bounds[at] + after
+        parts.append(vocab.letters[np.arange(after[-1]) + np.repeat(vocab.starts[own] - after + size, size)].tobytes())
+    raw, cuts = b"".join(parts), bounds[np.concatenate(([0], ends))]
+    if len(raw) < 1 << 31:
+        texts = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            pass
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
+
+
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids in ``out_col``."""
     keep = others(df, out_col)
@@ -402,9 +453,9 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "
         vocab = vocabulary(tokenizer)
         for b in slices(batches):
             col = b.column(at)
-            flat, offsets = col.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
-            texts = [decode_ids(vocab, flat[s:e].tolist()).decode("utf-8", "replace") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*keep, out_col])
+            ends = np.cumsum(col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            texts = decode_many(vocab, col.flatten().to_numpy(zero_copy_only=False), ends)
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], [*keep, out_col])
 
     src = df.select(*(f"`{c}`" for c in keep))
     return src.mapInArrow(run, _with(src, out_col, T.StringType()))

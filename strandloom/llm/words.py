@@ -65,6 +65,16 @@ def plain(body: str) -> bool:
     return body.isalpha() and (body.isascii() or not WIDE.search(body))
 
 
+def words_of_spaced(bodies: list[str]) -> list[list[str]]:
+    """``words_of`` of many chunks that a space precedes, given without it: one run of the pattern over all of them."""
+    text = "".join([" " + b for b in bodies])
+    if WIDE.search(text):
+        return [words_of(" " + b) for b in bodies]
+    words = SPLIT.findall(text)
+    cuts = [*(i for i, w in enumerate(words) if w[0] == " "), len(words)]
+    return [words[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Dictionary:
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], kept: int = KEPT):
         """``encode_words``: ids of distinct pre-tokens, as bytes."""
@@ -100,16 +110,13 @@ class Dictionary:
     def _fill(self, whole: set[str], spaced: set[str]) -> None:
         """Encodes new chunks: words of letters, alone or before a mark, as spaced chunks of their own, others by their pre-tokens."""
         known, held = self.whole, self.spaced
-        letters, marked, split_spaced = set(), [], []
-        for c in spaced:
-            if plain(c):
-                letters.add(c)
-            elif c[-1:] in MARKS and plain(body := c[:-1]):
-                marked.append((c, body))
-                if body not in held:
-                    letters.add(body)
-            else:
-                split_spaced.append((c, words_of(" " + c)))
+        letter = plain if WIDE.search("".join(spaced)) else str.isalpha
+        letters = set(filter(letter, spaced))
+        rest = spaced - letters
+        marked = [(c, body) for c in rest if c[-1] in MARKS and letter(body := c[:-1])]
+        letters.update([body for _, body in marked if body not in held])
+        others = list(rest.difference([c for c, _ in marked]))
+        split_spaced = list(zip(others, words_of_spaced(others), strict=True))
         split_whole = [(c, words_of(c)) for c in whole]
         several = {w for _, ws in split_spaced for w in ws} | {w for _, ws in split_whole for w in ws}
         if marked:

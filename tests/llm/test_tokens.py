@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from strandloom.llm import bpe, token_files
+from strandloom.llm import bpe, token_files, words
 from strandloom.llm.words import SPLIT, split
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +70,53 @@ def test_split_keeps_all_letters():
         assert "".join(split(t or "")) == (t or "") and "".join(SPLIT.findall("a b")) == "a b"
 
 
+class CountedPattern:
+    def __init__(self):
+        self.calls = 0
+
+    def findall(self, text):
+        self.calls += 1
+        return SPLIT.findall(text)
+
+
+def test_new_chunks_are_split_together(monkeypatch):
+    texts = ["start " + " ".join(f"it's{i}.\nNext,{i}\n" if i % 3 else f"(é{i})\xa0" for i in range(n, n + 500)) for n in (0, 500)]
+    counted = CountedPattern()
+    monkeypatch.setattr(words, "SPLIT", counted)
+    got = bpe.Encoder(VOCAB).encode(texts)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [ids_of(t) for t in texts]
+    assert counted.calls < 10  # not one for each of 1,000 chunks
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("\n\t'sreAZé1½中_!.\xa0\x85"), st.characters(codec="utf-8", exclude_characters=" ")), min_size=1, max_size=8), max_size=6))
+def test_chunks_split_together_as_alone(bodies):
+    bodies = [b for b in bodies if not words.UNSAFE.search(" " + b)]
+    assert words.words_of_spaced(bodies) == [split(" " + b) for b in bodies]
+
+
+def test_slots_find_all_keys_and_no_others():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 1 << 36, 20_000))
+    held, others = keys[::2], keys[1::2]
+    slots = bpe.Slots(held, np.arange(len(held), dtype=np.int32))
+    assert len(slots.levels) > 1
+    assert (slots.get(held) == np.arange(len(held))).all() and (slots.get(others) == bpe.NONE).all()
+    assert slots.get(held[:6].reshape(2, 3)).tolist() == [[0, 1, 2], [3, 4, 5]]
+    assert bpe.Slots(held[:0], np.zeros(0, np.int32)).get(others[:3]).tolist() == [bpe.NONE] * 3
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_many_documents_decode_as_one_by_one(block):
+    r = random.Random(5)
+    size = len(VOCAB.bytes)
+    for odd in (False, True):  # with ids outside of the vocabulary and bytes that are no UTF-8, or without
+        rows = [ids_of(t) for t in ODD] + ([[r.randrange(-3, size + 3) for _ in range(r.randint(0, 30))] for _ in range(50)] if odd else [])
+        got = bpe.decode_many(VOCAB, np.array([i for row in rows for i in row], np.int32), np.cumsum([len(row) for row in rows]), block)
+        assert got.to_pylist() == [bpe.decode_ids(VOCAB, row).decode("utf-8", "replace") for row in rows]
+    assert bpe.decode_many(VOCAB, np.zeros(0, np.int32), np.zeros(0, np.int64)).to_pylist() == []
+
+
 def documents(spark, texts=ODD):
     return spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
 
