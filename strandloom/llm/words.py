@@ -1,7 +1,9 @@
 """Splitting texts into pre-tokens and keeping their ids: what both encoders share.
 
 A text in which no space stands before other white space or the end splits at its spaces into
-chunks; the pre-tokens of a chunk don't depend on what surrounds it. So a text costs one
+chunks; the pre-tokens of a chunk don't depend on what surrounds it. Where the same holds of its
+line breaks, it splits before them too, so that the end of a line and the start of the next are
+no chunk of their own that hardly comes again. So a text costs one
 dictionary look-up a chunk, and a chunk is split and encoded once while a worker's bounded
 dictionary holds it. New words of a batch of texts are encoded together.
 """
@@ -22,6 +24,8 @@ WIDE = re.compile("[^\x00-ɏ]")
 _library = ByteLevel(add_prefix_space=False, use_regex=True)
 #: A space after which white space or nothing follows; before any other space a pre-token ends, whatever stands around it.
 UNSAFE = re.compile(r" (?:\s|\Z)")
+#: A line break of that kind; any other is a pre-token, and what follows it begins one.
+UNSAFE_BREAK = re.compile(r"\n(?:\s|\Z)")
 MARKS = frozenset(".,;:!?")
 #: Chunks that a worker keeps. When full, the half that came last goes: frequent chunks come early and stay.
 KEPT = 240_000
@@ -42,9 +46,11 @@ def split(text: str) -> list[str]:
 
 
 def chunks(text: str) -> tuple[list[str], list[str]]:
-    """Parts of a text that split on their own, in order: whole ones, then ones that a space precedes, without it."""
+    """Parts of a text that split on their own, in order: whole ones, then ones that a space precedes, without it, or that begin with a line break."""
     if UNSAFE.search(text):
         return split(text), []
+    if "\n" in text and not UNSAFE_BREAK.search(text):
+        text = text.replace("\n", " \n")
     first, *rest = text.split(" ")
     return [first], rest
 
@@ -66,7 +72,10 @@ def plain(body: str) -> bool:
 
 
 def words_of_spaced(bodies: list[str]) -> list[list[str]]:
-    """``words_of`` of many chunks that a space precedes, given without it: one run of the pattern over all of them."""
+    """The pre-tokens of many of the later parts that ``chunks`` returns: one run of the pattern over all that a space precedes."""
+    if any(b[0] == "\n" for b in bodies):
+        spaced = iter(words_of_spaced([b for b in bodies if b[0] != "\n"]))
+        return [["\n", *words_of(b[1:])] if b[0] == "\n" else next(spaced) for b in bodies]
     text = "".join([" " + b for b in bodies])
     if WIDE.search(text):
         return [words_of(" " + b) for b in bodies]

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -70,6 +71,22 @@ def test_split_keeps_all_letters():
         assert "".join(split(t or "")) == (t or "") and "".join(SPLIT.findall("a b")) == "a b"
 
 
+def test_lines_share_their_chunks():
+    ends, starts = [f"end{a}." for a in "abcdefghij"], [f"Start{a}" for a in "abcdefghij"]
+    text = " ".join(f"{a}\n{b}" for a in ends for b in starts)
+    for enc, kind in ((bpe.Encoder(VOCAB), np.uint32), (token_files.LibraryEncoder(PATH), np.uint16)):
+        assert np.frombuffer(enc.encode([text])[0], kind).tolist() == ids_of(text)
+        assert len(enc.dictionary.spaced) < 40  # not one for each of 100 pairs
+
+
+@pytest.mark.parametrize("encoder, kind", [(OWN, np.uint32), (LIBRARY, np.uint16)])
+def test_breaks_and_white_space(encoder, kind):
+    texts = ["".join(t) for n in range(1, 6) for t in itertools.product("a. \n\r", repeat=n)]
+    assert [np.frombuffer(x, kind).tolist() for x in encoder.encode(texts)] == [ids_of(t) for t in texts]
+    odd = ["".join(t) for n in range(1, 5) for t in itertools.product("b'\n\t\xa0\x85\x1c中1", repeat=n)]
+    assert [np.frombuffer(x, kind).tolist() for x in encoder.encode(odd)] == [ids_of(t) for t in odd]
+
+
 class CountedPattern:
     def __init__(self):
         self.calls = 0
@@ -92,6 +109,7 @@ def test_new_chunks_are_split_together(monkeypatch):
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("\n\t'sreAZé1½中_!.\xa0\x85"), st.characters(codec="utf-8", exclude_characters=" ")), min_size=1, max_size=8), max_size=6))
 def test_chunks_split_together_as_alone(bodies):
     bodies = [b for b in bodies if not words.UNSAFE.search(" " + b)]
+    assert words.words_of_spaced([x for b in bodies for x in (b, "\n" + b)]) == [x for b in bodies for x in (split(" " + b), split("\n" + b))]
     assert words.words_of_spaced(bodies) == [split(" " + b) for b in bodies]
 
 
