@@ -22,6 +22,7 @@ import struct
 from array import array
 from collections import Counter
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from strandloom.llm.files import open_out
 from strandloom.llm.words import Dictionary, byte_letters, chunks, words_of, words_of_spaced
 
 LEXICON = 32_768
+#: Counted chunks whose words a worker holds at once.
+BLOCK = 16_384
 NONE = np.int32(2**31 - 1)
 MAGIC = b"LEXA"
 
@@ -349,19 +352,28 @@ def _encoder(path: str, lexicon: str | None) -> Encoder:
     return _encoders[path, lexicon]
 
 
+def _forget() -> None:
+    """Frees the dictionary of a lexicon that is to be compiled anew."""
+    _encoders.clear()
+
+
 def word_counts(docs: DataFrame, text_col: str = "text", flush: int = 500_000) -> DataFrame:
     """``(word, n)``: how often each pre-token occurs in all texts."""
 
     def run(batches):
+        _forget()
         seen: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out():
             words: Counter = Counter()
             for spaced, part in zip((False, True), seen, strict=True):
-                split = words_of_spaced(list(part)) if spaced else map(words_of, part)
-                for own, n in zip(split, part.values(), strict=True):
-                    for w in own:
-                        words[w] += n
+                counted = iter(part.items())
+                while block := list(islice(counted, BLOCK)):
+                    bodies = [c for c, _ in block]
+                    split = words_of_spaced(bodies) if spaced else map(words_of, bodies)
+                    for own, (_, n) in zip(split, block, strict=True):
+                        for w in own:
+                            words[w] += n
                 part.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
@@ -397,14 +409,18 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", lex
     return uri.rsplit("/", 1)[1]
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _with(fields: list[T.StructField], added: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([*fields, *(T.StructField(name, kind) for name, kind in added.items())])
 
 
-def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of its text as ``array<int>``; a column of that name is replaced."""
-    keep = others(docs, ids_col)
-    at = keep.index(text_col)
+def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of its text as ``array<int>``; a column of that name is replaced.
+
+    With ``decoded_col`` the worker also decodes the ids, as ``decode`` does in a worker of its own; that column may replace the text.
+    """
+    added = {ids_col: T.ArrayType(T.IntegerType())} | ({decoded_col: T.StringType()} if decoded_col else {})
+    read, stay = others(docs, ids_col), others(docs, *added)
+    at, kept = read.index(text_col), [read.index(c) for c in stay]
 
     def run(batches):
         enc = _encoder(tokenizer, lexicon)
@@ -413,10 +429,13 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text_col
             offsets = np.zeros(len(raw) + 1, np.int32)
             np.cumsum([len(r) // 4 for r in raw], out=offsets[1:])
             flat = np.frombuffer(b"".join(raw), np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*keep, ids_col])
+            new = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+            if decoded_col:
+                new.append(decode_many(enc.vocab, flat, offsets[1:]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), *new], [*stay, *added])
 
-    src = docs.select(*(f"`{c}`" for c in keep))
-    return src.mapInArrow(run, _with(src, ids_col, T.ArrayType(T.IntegerType())))
+    src = docs.select(*(f"`{c}`" for c in read))
+    return src.mapInArrow(run, _with([src.schema.fields[i] for i in kept], added))
 
 
 def decode_ids(vocab: Vocabulary, ids) -> bytes:
@@ -458,7 +477,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "
             yield pa.RecordBatch.from_arrays([*b.columns, texts], [*keep, out_col])
 
     src = df.select(*(f"`{c}`" for c in keep))
-    return src.mapInArrow(run, _with(src, out_col, T.StringType()))
+    return src.mapInArrow(run, _with(src.schema.fields, {out_col: T.StringType()}))
 
 
 def op6_bpe(spark, sf_dir):
@@ -466,6 +485,5 @@ def op6_bpe(spark, sf_dir):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, path, compile_lexicon(docs, path)).select("doc_id", "ids")
-    done = decode(ids, path)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    done = encode(docs, path, compile_lexicon(docs, path), decoded_col="text")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -2,9 +2,11 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -152,6 +154,47 @@ def test_encode_and_decode_frames(spark):
     assert [r.decoded for r in bpe.decode(odd, PATH).orderBy("doc_id").collect()] == ["", bpe.decode_ids(VOCAB, [64, 255]).decode("utf-8", "replace")]
 
 
+def test_one_worker_encodes_and_decodes(spark, tmp_path, capsys):
+    docs = documents(spark)
+    both = bpe.encode(docs, PATH, bpe.compile_lexicon(docs, PATH, lexicon_words=20), decoded_col="text")
+    assert both.columns == ["doc_id", "ids", "text"]
+    assert [(r.ids, r.text) for r in both.orderBy("doc_id").collect()] == [(ids_of(t), t or "") for t in ODD]
+    beside = bpe.encode(docs, PATH, decoded_col="decoded")
+    assert beside.columns == ["doc_id", "text", "ids", "decoded"]
+    assert [(r.text, r.decoded) for r in beside.orderBy("doc_id").collect()] == [(t, t or "") for t in ODD]
+    assert bpe.encode(docs.limit(0), PATH, decoded_col="text").count() == 0
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bpe.op6_bpe(spark, str(tmp_path)).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1  # a second one is a second worker for each running task
+
+
+def test_a_new_count_frees_the_dictionary(spark):
+    docs = documents(spark).coalesce(1)
+    before = bpe.encode(docs, PATH).collect()
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([len(bpe._encoders)], pa.int64())], ["n"])
+
+    def workers():
+        return max(r.n for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect())
+
+    assert workers() == 1
+    bpe.word_counts(spark.range(0, 64, 1, 64).selectExpr("string(id) text")).collect()
+    assert workers() == 0
+    assert bpe.encode(docs, PATH).collect() == before
+
+
+def test_word_counts_in_blocks(spark, monkeypatch):
+    texts = ["start " + " ".join(f"it's{i % 7}.\nNext,{i}\n" if i % 3 else f"(é{i})\xa0 中{i}" for i in range(200)), "a  b", *ODD]
+    rows = lambda: sorted(map(tuple, bpe.word_counts(documents(spark, texts)).collect()))
+    want = rows()
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    assert rows() == want
+    told = Counter(w for t in texts for w in split(t or ""))
+    assert {w: n for w, n in want if w} == dict(told)
+
+
 def test_word_counts(spark):
     docs = documents(spark, ["the cat the", "the", None, "cat  sat"])
     got = {r.word: r.n for r in bpe.word_counts(docs, flush=2).filter("word <> ''").collect()}
