@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, functions as F
 
 #: Counts saturate here (fixed value of the table format: ten bits).
 MAX_COUNT = 1023
 
+#: Bases of a number: two bits each, so that it is never negative.
+BLOCK = 31
+
 
 def bases(seq) -> Column:
     """Upper-case bases with U read as T; other letters stay, keep their positions, and break k-mers."""
@@ -35,6 +40,32 @@ def decode(code, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def words(k: int) -> list[int]:
+    """How many bases each number of a k-mer holds: 31, the first what is left."""
+    return [k - BLOCK * ((k - 1) // BLOCK)] + [BLOCK] * ((k - 1) // BLOCK)
+
+
+def pack(kmer, k: int) -> Column:
+    """A k-mer's number; of more than 31 bases a struct of numbers ``w0``, ``w1``, ... (``words``)."""
+    if k <= BLOCK:
+        return encode(kmer)
+    sizes = words(k)
+    return F.struct(*(encode(F.substring(kmer, sum(sizes[:j]) + 1, n)).alias(f"w{j}") for j, n in enumerate(sizes)))
+
+
+_FIVE = " ".join(map("".join, product("ACGT", repeat=5)))
+
+
+def spell(code, k: int) -> Column:
+    """The text of a number of ``pack``, five bases at a look-up."""
+    if k > BLOCK:
+        return F.concat(*(spell(code[f"w{j}"], n) for j, n in enumerate(words(k))))
+    five, first = F.split(F.lit(_FIVE), " "), k % 5
+    word = lambda left: five[F.shiftright(code, 2 * left).bitwiseAND(F.lit(1023)).cast("int")]
+    head = [F.substring(word(k - first), 6 - first, first)] if first else []
+    return F.concat(*head, *(word(left) for left in range(k - first - 5, -1, -5)))
+
+
 def _add(a, b, mask: int) -> Column:
     """Sum modulo mask + 1 of two masked numbers; a carry into the sign bit can't happen below 63 bits."""
     return (a.bitwiseAND(F.lit(mask)) + b.bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(mask))

@@ -8,27 +8,30 @@ from pyspark.sql import DataFrame, functions as F
 
 from strandloom.functions.bases import MAX_COUNT, phred, raw_quality
 from strandloom.operators import table as tables
-from strandloom.operators.lookup import annotate, annotate_bags
+from strandloom.operators.lookup import annotate, annotate_bags, totals
 from strandloom.operators.options import QualityOptions
 
 #: Highest degree of the fit, steps it looks at, least factor of the extension (fixed values of the model).
 DEGREE, STEPS, LEAST = 2, 8, 1.01
 
 
+def of_length(seqs: DataFrame, min_len: int) -> DataFrame:
+    """Sequences of at least so many bases. The condition stays where it is: below the caller's exchange it would make each sequence a second time."""
+    return seqs.filter((F.col("len") >= min_len) | (F.spark_partition_id() < 0))
+
+
 def per_sequence(seqs: DataFrame, table: DataFrame, k: int, opt: QualityOptions = QualityOptions()) -> DataFrame:
     """``(seq_id, name, len, tot, non0, qv)`` of every sequence of at least ``min_len`` bases."""
-    kept = seqs.filter(F.col("len") >= opt.min_len)
-    hit = F.coalesce("cnt", F.lit(0)) > 0
-    got = annotate_bags(kept, table, k).groupBy("seq_id").agg(F.sum("n").alias("tot"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("non0"))
-    all_ = kept.select("seq_id", "name", "len").join(got, "seq_id", "left").fillna(0, ["tot", "non0"])
+    kept = of_length(seqs, opt.min_len)
+    hits = annotate_bags(kept, table.filter("cnt > 0"), k).groupBy("seq_id").agg(F.sum("n").alias("non0"))
+    all_ = kept.select("seq_id", "name", "len").join(totals(kept, k), "seq_id", "left").join(hits, "seq_id", "left").fillna(0, ["tot", "non0"])
     return all_.withColumn("qv", phred(F.col("tot"), F.col("non0"), k))
 
 
 def absent_kmers(seqs: DataFrame, table: DataFrame, k: int, opt: QualityOptions = QualityOptions()) -> DataFrame:
     """``(seq_id, name, start)`` of the windows whose k-mer the table has not."""
-    kept = seqs.filter(F.col("len") >= opt.min_len)
-    lost = annotate(kept, table, k).filter(F.coalesce("cnt", F.lit(0)) == 0).select("seq_id", (F.col("pos") + 1 - k).alias("start"))
-    return lost.join(kept.select("seq_id", "name"), "seq_id")
+    kept = of_length(seqs, opt.min_len)
+    return annotate(kept, table, k, "name").filter(F.coalesce("cnt", F.lit(0)) == 0).select("seq_id", (F.col("pos") + 1 - k).alias("start"), "name")
 
 
 def spectrum(seqs: DataFrame, table: DataFrame, k: int, opt: QualityOptions = QualityOptions()) -> DataFrame:
@@ -36,12 +39,14 @@ def spectrum(seqs: DataFrame, table: DataFrame, k: int, opt: QualityOptions = Qu
 
     A sequence is kept if at least ``min_frac`` of its k-mers are in the table.
     """
-    bags = annotate_bags(seqs.filter(F.col("len") >= opt.min_len), table, k).withColumn("c", F.coalesce("cnt", F.lit(0)))
-    by = bags.groupBy("seq_id", "c").agg(F.sum("n").alias("n"))
-    # at most 1,024 rows a sequence are left; a second group-by on the same key instead of a join with the first
-    sums = by.groupBy("seq_id").agg(F.sum("n").alias("tot"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("non0"), F.collect_list(F.struct("c", "n")).alias("bins"))
-    kept = sums.filter(F.col("non0") >= F.col("tot") * opt.min_frac).select(F.inline("bins"))
-    cnt = kept.groupBy(F.col("c").cast("int").alias("c")).agg(F.sum("n").alias("cnt"))
+    long_ = of_length(seqs, opt.min_len)
+    by = annotate_bags(long_, table.filter("cnt > 0"), k).groupBy("seq_id", F.col("cnt").alias("c")).agg(F.sum("n").alias("n"))
+    # at most 1,023 rows a sequence are left; a second group-by on the same key instead of a join with the first
+    sums = by.groupBy("seq_id").agg(F.sum("n").alias("non0"), F.collect_list(F.struct("c", "n")).alias("bins"))
+    all_ = totals(long_, k).join(sums, "seq_id", "left").withColumn("non0", F.coalesce("non0", F.lit(0)))
+    absent = F.array(F.struct(F.lit(0).alias("c"), (F.col("tot") - F.col("non0")).alias("n")))
+    kept = all_.filter((F.col("tot") > 0) & (F.col("non0") >= F.col("tot") * opt.min_frac)).select(F.inline(F.when(F.col("bins").isNull(), absent).otherwise(F.concat("bins", absent))))
+    cnt = kept.groupBy("c").agg(F.sum("n").alias("cnt"))
     return tables.histogram(table).withColumnRenamed("n", "hist").join(cnt, "c", "left").fillna(0, ["cnt"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.operators.lookup import annotate_bags
+from strandloom.operators.lookup import annotate_bags, totals
 from strandloom.operators.options import PartitionOptions
 
 
@@ -13,10 +13,11 @@ def sex_counts(seqs: DataFrame, flags: DataFrame, k: int) -> DataFrame:
 
     ``ns`` counts k-mers of any of the flag tables, n1 and n2 those of the first or second alone.
     """
-    flag = F.coalesce("flag", F.lit(0))
+    flag = F.col("flag")
     part = lambda cond, name: F.sum(F.when(cond, F.col("n")).otherwise(0)).alias(name)
-    got = annotate_bags(seqs, flags, k).groupBy("seq_id").agg(F.sum("n").alias("nk"), part(flag > 0, "ns"), part(flag == 1, "n1"), part(flag == 2, "n2"))
-    return seqs.select("seq_id", "name", "hap").join(got, "seq_id", "left").fillna(0, ["nk", "ns", "n1", "n2"])
+    got = annotate_bags(seqs, flags.filter("flag > 0"), k).groupBy("seq_id").agg(F.sum("n").alias("ns"), part(flag == 1, "n1"), part(flag == 2, "n2"))
+    all_ = seqs.select("seq_id", "name", "hap").join(totals(seqs, k).withColumnRenamed("tot", "nk"), "seq_id", "left").join(got, "seq_id", "left")
+    return all_.fillna(0, ["nk", "ns", "n1", "n2"])
 
 
 def partition(rows: DataFrame, opt: PartitionOptions = PartitionOptions()) -> DataFrame:

@@ -1,7 +1,8 @@
 """K-mer tables ``(kmer, cnt)``: counting, set algebra, histograms, storage.
 
 A table's k stands in the metadata of its ``kmer`` column, which Parquet files and derived tables keep, rows or not;
-operators on several tables refuse tables of different k.
+operators on several tables refuse tables of different k. Inside a query tables are packed: ``kmer`` is a number (``packed``),
+which ``spelled`` turns into text at the end. Operators take either form, all of their tables in one form.
 
 Every combination of tables is an equi-join or a group-by on ``kmer``; tables saved with ``save`` are bucketed by it, so these
 need no exchange between saved tables of equal bucket number.
@@ -13,8 +14,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandloom.functions.bases import MAX_COUNT, saturated
-from strandloom.operators.kmers import explode_kmers
+from strandloom.functions.bases import MAX_COUNT, pack, saturated, spell
+from strandloom.operators.kmers import dealt, explode_codes, parts_of
 
 
 def told_k(table: DataFrame) -> int | None:
@@ -34,21 +35,60 @@ def same_k(*tables: DataFrame, k: int | None = None) -> int | None:
     return found.pop() if found else None
 
 
+#: Tables of at most so many bases have 4 ** 11 / 2 rows at most, whatever the input: partial sums help, and joins broadcast them.
+SHORT = 11
+
+
+def is_packed(table: DataFrame) -> bool:
+    return table.schema["kmer"].dataType.typeName() != "string"
+
+
+def packed(table: DataFrame, k: int) -> DataFrame:
+    """The table with numbers for k-mers; rows whose text is no k-mer of k bases, which match nothing, are left out."""
+    if is_packed(table):
+        return table
+    bases_only = (F.length("kmer") == k) & (F.translate("kmer", "ACGT", "") == "")
+    return with_k(table.filter(bases_only).withColumn("kmer", pack(F.col("kmer"), k)), k)
+
+
+def spelled(table: DataFrame) -> DataFrame:
+    """The table with text for k-mers; a packed one says its k."""
+    if not is_packed(table):
+        return table
+    k = told_k(table)
+    return with_k(table.withColumn("kmer", spell(F.col("kmer"), k)), k)
+
+
+def tally(occ: DataFrame, k: int, weight=None, parts: int | None = None) -> DataFrame:
+    """``(kmer, n)`` of packed occurrences: their number, or the sum of a weight.
+
+    Long k-mers hardly repeat in a task, so they are dealt to ``parts`` partitions before they are counted.
+    """
+    occ = occ if k <= SHORT else dealt(occ, parts, "kmer")
+    return occ.groupBy("kmer").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
+
+
+def count_packed(seqs: DataFrame, k: int, min_count: int = 1) -> DataFrame:
+    """``count`` with numbers for k-mers."""
+    n = tally(explode_codes(seqs, k).select("kmer"), k, parts=parts_of(seqs))
+    return with_k(n.filter(F.col("n") >= min_count).select("kmer", saturated("n").alias("cnt")), k)
+
+
 def count(seqs: DataFrame, k: int, min_count: int = 1) -> DataFrame:
     """Saturating counts of canonical k-mers seen ``min_count`` times or more."""
-    n = explode_kmers(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    return with_k(n.filter(F.col("n") >= min_count).select("kmer", saturated("n").alias("cnt")), k)
+    return spelled(count_packed(seqs, k, min_count))
 
 
 def count_two(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
     """Counts in ``second`` of the k-mers seen twice or more in ``first``, of those seen twice or more there too."""
-    return count(second, k, 2).join(count(first, k, 2), "kmer", "left_semi")
+    return spelled(intersect(count_packed(second, k, 2), count_packed(first, k, 2)))
 
 
 def recount(table: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
     """The table's k-mers with their counts in ``seqs``; unseen ones stay with 0."""
     k = same_k(table, k=k)
-    return with_k(table.select("kmer").join(count(seqs, k), "kmer", "left").select("kmer", F.coalesce("cnt", F.lit(0)).alias("cnt")), k)
+    seen = count_packed(seqs, k) if is_packed(table) else count(seqs, k)
+    return with_k(table.select("kmer").join(seen, "kmer", "left").select("kmer", F.coalesce("cnt", F.lit(0)).alias("cnt")), k)
 
 
 def shrink(table: DataFrame, low: int, high: int = MAX_COUNT) -> DataFrame:
@@ -86,8 +126,9 @@ def intersect(left: DataFrame, *others: DataFrame) -> DataFrame:
 def merge(left: DataFrame, right: DataFrame, low: int = 1, high: int = MAX_COUNT) -> DataFrame:
     """Left counts plus one for each right row with a count in [low, high]; such rows not in left enter with 1."""
     k = same_k(left, right)
-    added = set_count(shrink(right, low, high), 1)
-    return with_k(left.unionAll(added).groupBy("kmer").agg(saturated(F.sum("cnt")).alias("cnt")), k)
+    added = shrink(right, low, high).select("kmer", F.lit(1).alias("more"))
+    # a join, as tables that are dealt by k-mer already need no exchange for it
+    return with_k(left.join(added, "kmer", "full").select("kmer", saturated(F.coalesce("cnt", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("cnt")), k)
 
 
 def collate(samples: DataFrame, k: int, low: int = 1, high: int = 1, max_out: int = 0, seed: DataFrame | None = None, sample_col: str = "sample", n_samples: int | None = None) -> DataFrame:
@@ -98,11 +139,11 @@ def collate(samples: DataFrame, k: int, low: int = 1, high: int = 1, max_out: in
     """
     same_k(*(t for t in [seed] if t is not None), k=k)
     n = n_samples if n_samples is not None else samples.select(sample_col).distinct().count()
-    per = explode_kmers(samples, k, sample_col).groupBy(sample_col, "kmer").agg(saturated(F.count(F.lit(1))).alias("cnt"))
+    per = explode_codes(samples, k, sample_col).groupBy(sample_col, "kmer").agg(saturated(F.count(F.lit(1))).alias("cnt"))
     rows = set_count(shrink(per, low, high), 1)
-    rows = rows.unionAll(seed.select("kmer", "cnt")) if seed is not None else rows
+    rows = rows.unionAll(packed(seed, k).select("kmer", "cnt")) if seed is not None else rows
     found = rows.groupBy("kmer").agg(saturated(F.sum("cnt")).alias("cnt"))
-    return with_k(found.filter(F.col("cnt") >= n - max_out), k)
+    return spelled(with_k(found.filter(F.col("cnt") >= n - max_out), k))
 
 
 def histogram(table: DataFrame) -> DataFrame:

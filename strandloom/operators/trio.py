@@ -37,30 +37,21 @@ def classify(k: int, s0, s1, p, m, ratio: float):
 
 def binning(seqs: DataFrame, flags: DataFrame, k: int, opt: TrioOptions = TrioOptions()) -> DataFrame:
     """A row for every sequence: ``(seq_id, name, type, sc0, sc1, c2, c8, c1, c4, nk, c0)``."""
-    per = runs_by_flag(annotate_known(seqs, flags.filter("flag <> 0"), k), k)
+    hits = annotate_known(seqs, flags.filter("flag <> 0"), k)
+    per = hits.groupBy("seq_id").agg(F.count(F.lit(1)).alias("known"), *(F.count(F.when(F.col("flag") == f, 1)).alias(f"c{f}") for f in (1, 2, 4, 8)))
+    long = typed_islands(seqs, flags, k).withColumn("n", F.col("end") - F.col("first")).filter(F.col("n") >= k - 4)
+    bases = long.groupBy("seq_id").agg(*(F.sum(F.when(F.col("type") == i + 1, F.col("n")).otherwise(0)).alias(f"sc{i}") for i in (0, 1)))
     names = ["known", "c1", "c2", "c4", "c8", "sc0", "sc1"]
-    all_ = seqs.select("seq_id", "name", windows("seq", k).alias("nk")).join(per, "seq_id", "left").fillna(0, names)
+    all_ = seqs.select("seq_id", "name", windows("seq", k).alias("nk")).join(per, "seq_id", "left").join(bases, "seq_id", "left").fillna(0, ["nk", *names])
     kind = classify(k, F.col("sc0"), F.col("sc1"), F.col("c2"), F.col("c8"), opt.ratio)
     return all_.select("seq_id", "name", kind.alias("type"), "sc0", "sc1", "c2", "c8", "c1", "c4", "nk", (F.col("nk") - F.col("known")).alias("c0"))
 
 
-def runs_by_flag(hits: DataFrame, k: int) -> DataFrame:
-    """``(seq_id, known, c1, c2, c4, c8, sc0, sc1)`` of positions with a flag.
-
-    Runs of one flag hold its positions, so their lengths add up to its count, and the long ones of the two strong flags are the
-    bases of each parent: one pass over the positions gives both.
-    """
-    n = F.col("end") - F.col("first")
-    of = lambda flag, low=1: F.sum(F.when((F.col("type") == flag) & (n >= low), n).otherwise(0))
-    return islands(hits, kind="flag").groupBy("seq_id").agg(F.sum(n).alias("known"), *(of(f).alias(f"c{f}") for f in (1, 2, 4, 8)), *(of(f, k - 4).alias(f"sc{i}") for i, f in enumerate((2, 8))))
-
-
 def differences(seqs: DataFrame, flags: DataFrame, k: int) -> DataFrame:
     """``(seq_id, name, pos, pat, mat)`` of the positions where the parents' levels differ."""
     pat, mat = F.col("flag").bitwiseAND(F.lit(3)), F.shiftright("flag", 2).bitwiseAND(F.lit(3))
     unequal = flags.select("kmer", pat.alias("pat"), mat.alias("mat")).filter("pat <> mat")
-    occ = annotate_known(seqs, unequal, k)
-    return occ.join(seqs.select("seq_id", "name"), "seq_id").select("seq_id", "name", "pos", "pat", "mat")
+    return annotate_known(seqs, unequal, k, "name").select("seq_id", "name", "pos", "pat", "mat")
 
 
 def streaks(seqs: DataFrame, flags: DataFrame, k: int, opt: TrioOptions = TrioOptions()) -> DataFrame:

@@ -17,12 +17,19 @@ from strandloom.sources.sequences import from_documents, raw_documents
 K = 21
 SHORT = 11
 
+#: Bytes of files for each partition: about 2.5 million k-mers.
+PART_BYTES = 8 << 20
+
 
 def documents(spark, sf_dir: str) -> DataFrame:
-    """The table; dealt anew only if it has fewer files than the session has cores, and then may be one split."""
+    """The table, dealt by document to as many partitions as it has ``PART_BYTES``, so that tasks don't grow with it.
+
+    The number stands in the metadata of the id, where operators find it (``kmers.parts_of``). What is grouped by document needs no other exchange.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    return docs.repartition(parts, "doc_id").withMetadata("doc_id", {"parts": parts})
 
 
 def sequences(spark, sf_dir: str) -> DataFrame:
@@ -40,20 +47,20 @@ def _low(s: DataFrame) -> DataFrame:
 
 
 def _a(s: DataFrame, k: int = K) -> DataFrame:
-    return tables.count(_low(s), k)
+    return tables.count_packed(_low(s), k)
 
 
 def _b(s: DataFrame, k: int = K) -> DataFrame:
-    return tables.count(part(s, 10), k)
+    return tables.count_packed(part(s, 10), k)
 
 
 def _sex_tables(s: DataFrame) -> list[DataFrame]:
     low = F.substring("sample", 4, 10).try_cast("int")
-    return [tables.count(x, SHORT) for x in (s.filter(low < 7), part(s, 7, 13), part(s, 14))]
+    return [tables.count_packed(x, SHORT) for x in (s.filter(low < 7), part(s, 7, 13), part(s, 14))]
 
 
 def _flags(s: DataFrame) -> DataFrame:
-    return lookup.trio_flags(tables.count(s.filter("lang = 'en'"), SHORT), tables.count(s.filter("lang = 'fr'"), SHORT))
+    return lookup.trio_flags(tables.count_packed(s.filter("lang = 'en'"), SHORT), tables.count_packed(s.filter("lang = 'fr'"), SHORT))
 
 
 def _windows(s: DataFrame) -> DataFrame:
@@ -63,11 +70,16 @@ def _windows(s: DataFrame) -> DataFrame:
 
 
 def _window_counts(s: DataFrame, k: int) -> DataFrame:
-    """``tables.count(_windows(s), k)`` without the windows: a k-mer counts once for each window that holds it, as its position tells."""
+    """``tables.count(_windows(s), k)`` without the windows."""
+    return tables.spelled(_packed_window_counts(s, k))
+
+
+def _packed_window_counts(s: DataFrame, k: int) -> DataFrame:
+    """A k-mer counts once for each window that holds it, as its position tells."""
     last = F.floor(F.greatest(F.lit(0), F.col("len") - 100) / 5)
     held = F.least(last, F.floor((F.col("pos") - (k - 1)) / 5)) - F.greatest(F.lit(0), F.ceil((F.col("pos") - 99) / 5)) + 1
-    n = kmers.explode_kmers(s, k, "seq_id", "len").withColumn("held", held).filter("held > 0").groupBy("kmer").agg(F.sum("held").alias("n"))
-    return n.select("kmer", saturated("n").alias("cnt"))
+    occ = kmers.explode_codes(s, k, "seq_id", "len").select("kmer", held.alias("held")).filter("held > 0")
+    return tables.with_k(tables.tally(occ, k, F.col("held"), kmers.parts_of(s)).select("kmer", saturated("n").alias("cnt")), k)
 
 
 def _mutated(s: DataFrame) -> DataFrame:
@@ -88,7 +100,7 @@ def _round(df: DataFrame, **digits: int) -> DataFrame:
 
 def _solved(s: DataFrame) -> DataFrame:
     """The model over windows of all sources, read against mutated sequences of the same."""
-    spec = quality.spectrum(_mutated(s), _window_counts(s, K), K).withColumn("grp", F.lit("all"))
+    spec = quality.spectrum(_mutated(s), _packed_window_counts(s, K), K).withColumn("grp", F.lit("all"))
     return _round(quality.solve_groups(spec, K).drop("adj"), qv_raw=3, qv=3, cov=3, err=3, fpr_lower=6, fpr_upper=6)
 
 
@@ -102,6 +114,10 @@ def _over(f):
     return lambda spark, sf_dir: f(sequences(spark, sf_dir))
 
 
+def _spelled(f):
+    return _over(lambda s: tables.spelled(f(s)))
+
+
 QUERIES = {
     "kmer_extract": _over(lambda s: kmers.explode_kmers(s, K)),
     "kmer_breaks": lambda spark, sf_dir: kmers.explode_kmers(raw_documents(documents(spark, sf_dir)), 4),
@@ -110,20 +126,20 @@ QUERIES = {
     "kmer_count_k31": _over(lambda s: tables.count(s, 31)),
     "kmer_count_min2": _over(lambda s: tables.count(s, K, 2)),
     "kmer_count_two_file": _over(lambda s: tables.count_two(_low(s), part(s, 10), K)),
-    "kmer_distinct": _over(lambda s: tables.distinct_kmers(tables.count(s, K))),
-    "kmer_hist": _over(lambda s: tables.histogram(tables.count(s, K))),
+    "kmer_distinct": _over(lambda s: tables.distinct_kmers(tables.count_packed(s, K))),
+    "kmer_hist": _over(lambda s: tables.histogram(tables.count_packed(s, K))),
     "kmer_shrink": _over(lambda s: tables.shrink(tables.count(s, SHORT), 2, 10)),
     "kmer_shrink_open": _over(lambda s: tables.shrink(tables.count(s, SHORT), 50, 0)),
     "kmer_setcnt": _over(lambda s: tables.set_count(tables.count(s, SHORT), 7)),
     "kmer_clear": _over(lambda s: tables.clear(tables.count(s, SHORT))),
-    "kmer_recount": _over(lambda s: tables.recount(_a(s), part(s, 10), K)),
+    "kmer_recount": _spelled(lambda s: tables.recount(_a(s), part(s, 10), K)),
     "kmer_cntasm": _over(lambda s: tables.collate(s, 7, 1, 60)),
     "kmer_cntasm_maxout": _over(lambda s: tables.collate(s, SHORT, 1, 2, max_out=12)),
     "kmer_cntasm_seed": _over(lambda s: tables.collate(part(s, 10), SHORT, 1, 2, max_out=4, seed=tables.set_count(_a(s, SHORT), 1))),
-    "kmer_merge": _over(lambda s: tables.merge(_a(s), _b(s), 1, 3)),
-    "kmer_subtract": _over(lambda s: tables.subtract(_a(s), _b(s))),
-    "kmer_isec2": _over(lambda s: tables.intersect(_a(s), _b(s))),
-    "kmer_isec3": _over(lambda s: tables.intersect(tables.count(part(s, 0, 6), SHORT), tables.count(part(s, 7, 12), SHORT), tables.count(part(s, 13), SHORT))),
+    "kmer_merge": _spelled(lambda s: tables.merge(_a(s), _b(s), 1, 3)),
+    "kmer_subtract": _spelled(lambda s: tables.subtract(_a(s), _b(s))),
+    "kmer_isec2": _spelled(lambda s: tables.intersect(_a(s), _b(s))),
+    "kmer_isec3": _spelled(lambda s: tables.intersect(*(tables.count_packed(x, SHORT) for x in (part(s, 0, 6), part(s, 7, 12), part(s, 13))))),
     "kmer_print": _over(lambda s: tables.listing(tables.count(s, SHORT))),
     "kmer_codes": _over(lambda s: tables.count(s, SHORT).select("kmer", encode(F.col("kmer")).alias("code"), decode(encode(F.col("kmer")), SHORT).alias("decoded"))),
     "kmer_hash": _over(lambda s: tables.count(s, SHORT).select("kmer", hash_code(encode(F.col("kmer")), SHORT).alias("hash"))),
@@ -134,7 +150,7 @@ QUERIES = {
     "qv_raw": _over(lambda s: _round(quality.raw_summary(quality.spectrum(part(s, 10), _a(s, SHORT), SHORT), SHORT), qv_raw=3)),
     "qv_solve": _over(_solved),
     "qv_solve_bins": _over(_solved_bins),
-    "trio_flags": _over(_flags),
+    "trio_flags": _spelled(_flags),
     "triobin": _over(lambda s: trio.binning(s, _flags(s), SHORT)),
     "triobin_diff": _over(lambda s: trio.differences(s, _flags(s), SHORT)),
     "trioeval_seq": _over(lambda s: trio.phasing(s, _flags(s), SHORT)),
@@ -142,10 +158,10 @@ QUERIES = {
     "trioeval_frag": _over(lambda s: trio.fragments(s, _flags(s), SHORT)),
     "trioeval_totals": _over(lambda s: _round(trio.phasing_totals(trio.phasing(s, _flags(s), SHORT)), rate=6)),
     "chkerr": _over(lambda s: regions.low_support(part(s, 10), _a(s, SHORT), SHORT)),
-    "sexchr_flags": _over(lambda s: lookup.set_flags(*_sex_tables(s))),
+    "sexchr_flags": _spelled(lambda s: lookup.set_flags(*_sex_tables(s))),
     "sexchr": _over(_sex),
     "groupxy": _over(lambda s: sexchr.partition(_sex(s), sexchr.PartitionOptions(0.3, 0.2, 0.5))),
-    "inspect_hist": _over(lambda s: compare.histogram_rows(tables.count(s, SHORT))),
+    "inspect_hist": _over(lambda s: compare.histogram_rows(tables.count_packed(s, SHORT))),
     "inspect_cross": _over(lambda s: compare.cross_counts(_a(s, SHORT), _b(s, SHORT))),
     "inspect_sn": _over(lambda s: _round(compare.sensitivity(_a(s, SHORT), _b(s, SHORT)), frac=4)),
     "inspect_qv": _over(lambda s: _round(compare.qualities(_a(s, SHORT), _b(s, SHORT), SHORT), qv_raw=3, qv=3)),

@@ -10,7 +10,7 @@ SCHEMA = "name string, seq string, qual string, len int"
 
 def from_documents(docs: DataFrame) -> DataFrame:
     """``(seq_id, name, sample, lang, seq, len)``: the letters A, C, G, T (U) of each text, upper-case, as its sequence."""
-    seq = F.regexp_replace(F.translate(F.upper("text"), "U", "T"), "[^ACGT]", "")
+    seq = F.replace(F.upper(F.regexp_replace("text", "[^ACGTUacgtu]+", "")), F.lit("U"), F.lit("T"))
     return docs.select(F.col("doc_id").alias("seq_id"), F.col("doc_id").cast("string").alias("name"), F.col("source").alias("sample"), "lang", seq.alias("seq")).withColumn("len", F.length("seq"))
 
 
