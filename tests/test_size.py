@@ -14,7 +14,7 @@ from tests.test_kmers import brute, counts, seqs, windows
 #: Queries of k-mers that are too many for any bound: all is dealt by k-mer or sequence to as many partitions as the documents are.
 LONG = ["qv_solve", "qv_seq", "kmer_long_k33", "qv_seq_minlen", "kmer_hist", "kmer_recount", "kmer_subtract", "kmer_isec2", "kmer_count_two_file", "kmer_merge"]
 #: Queries of short k-mers: their tables have a bound, and are brought to the sequences.
-SHORT = ["qv_solve_bins", "qv_spectrum", "qv_raw", "groupxy", "sexchr", "triobin", "trioeval_totals", "trioeval_seq", "triobin_diff"]
+SHORT = ["qv_solve_bins", "qv_spectrum", "qv_raw", "groupxy", "sexchr", "triobin", "trioeval_totals", "trioeval_seq", "triobin_diff", "trioeval_err"]
 
 
 @pytest.fixture(scope="module")
